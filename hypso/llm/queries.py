@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from . import mixing, quality
+from .mixing import op2_curriculum_mixing
+from .quality import op8_robust_outliers
 from .sharding import op3_feistel_sharding
 
 
 def queries() -> dict:
     return {
+        "op2_curriculum_mixing": op2_curriculum_mixing,
         "op3_feistel_sharding": op3_feistel_sharding,
+        "op8_robust_outliers": op8_robust_outliers,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_curriculum_mixing": mixing.oracle(),
+        "op8_robust_outliers": quality.oracle(),
+    }
