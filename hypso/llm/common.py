@@ -76,14 +76,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def rows_of(spark: SparkSession, df: DataFrame) -> int:
-    return df.count()
-
-
-def zero_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0))
-
-
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a text; null for null."""
-    return F.md5(text)
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows with whole texts go to Python in batches of so many, so that a worker's memory is bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
