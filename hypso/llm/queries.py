@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from . import mixing, quality
+from .langid import op5_kneser_ney
 from .mixing import op2_curriculum_mixing
+from .pieces import op6_piece_tables
+from .pii import op10_shape_field
 from .quality import op8_robust_outliers
 from .sharding import op3_feistel_sharding
 
@@ -12,7 +15,10 @@ def queries() -> dict:
     return {
         "op2_curriculum_mixing": op2_curriculum_mixing,
         "op3_feistel_sharding": op3_feistel_sharding,
+        "op5_kneser_ney": op5_kneser_ney,
+        "op6_piece_tables": op6_piece_tables,
         "op8_robust_outliers": op8_robust_outliers,
+        "op10_shape_field": op10_shape_field,
     }
 
 
