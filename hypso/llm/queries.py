@@ -8,6 +8,7 @@ from .mixing import op2_curriculum_mixing
 from .pieces import op6_piece_tables
 from .pii import op10_shape_field
 from .quality import op8_robust_outliers
+from .repeats import op4_sentence_spans, op7_line_winnowing
 from .sharding import op3_feistel_sharding
 
 
@@ -15,8 +16,10 @@ def queries() -> dict:
     return {
         "op2_curriculum_mixing": op2_curriculum_mixing,
         "op3_feistel_sharding": op3_feistel_sharding,
+        "op4_sentence_spans": op4_sentence_spans,
         "op5_kneser_ney": op5_kneser_ney,
         "op6_piece_tables": op6_piece_tables,
+        "op7_line_winnowing": op7_line_winnowing,
         "op8_robust_outliers": op8_robust_outliers,
         "op10_shape_field": op10_shape_field,
     }
