@@ -1,11 +1,67 @@
-"""The corpus pipeline: stages over documents, each written and reread as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and reread as the next one's input.
+
+quality rules, line dedup, near-dedup, mixing, tokens. Every stage but the last returns the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hypso.llm import common, mixing, neardup, pieces, quality, repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality.quality_stage(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of lines that occur earlier; documents with no word left go."""
+    common.release()  # tables of the stage before, whose result is written
+    return repeats.line_stage(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    common.release()
+    return neardup.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: rows as often as they are taken, in the order of their positions."""
+    common.release()
+    return mixing.training_order(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, with the text that they decode to in place of the text itself."""
+    common.release()
+    found = pieces.encoded(docs, keep=[c for c in docs.columns if c != "text"])
+    return found.withColumnRenamed("decoded", "text")
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mix),
+    ("tokens", tokens),
+]
+
 #: The stages go beyond what SQL can state.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{common.shared_folder(spark)}/hypso-stage-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
