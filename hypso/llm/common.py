@@ -1,4 +1,4 @@
-"""Shared helpers: reading tables, the shared folder, packed rows, words."""
+"""Shared helpers: reading tables, the shared folder, column names, words."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,9 +67,14 @@ def release(keep: int = 0) -> None:
 atexit.register(release)
 
 
-def packed(df: DataFrame, name: str = "_row") -> DataFrame:
-    """All columns as one struct, so that helper columns never clash with the caller's."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+def exact(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def with_row(rows: DataFrame, added: str) -> StructType:
+    """The schema of rows' `_row` and the fields of a DDL text."""
+    return StructType([rows.schema["_row"], *StructType.fromDDL(added)])
 
 
 def let(value: Column, body) -> Column:

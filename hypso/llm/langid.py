@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import exact, small_batches, table, with_row
 
 ORDER = 4
 #: The sample that is learned from: so many rows of each language, none of them longer than this.
@@ -222,9 +222,9 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """A model from at most `rows` rows of each language, of at most `chars` characters each,
     in the order of a hash: the same sample whatever the partitions. Null texts and languages
     teach nothing."""
-    body = F.col(f"`{text}`")
-    usable = labelled.where(F.col(f"`{lang}`").isNotNull() & body.isNotNull() & (F.length(body) <= chars))
-    usable = usable.select(F.col(f"`{lang}`").alias("lang"), body.alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("h"))
+    body = exact(text)
+    usable = labelled.where(exact(lang).isNotNull() & body.isNotNull() & (F.length(body) <= chars))
+    usable = usable.select(exact(lang).alias("lang"), body.alias("text"), F.xxhash64(exact(key)).alias("h"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return Model([])
@@ -254,8 +254,8 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
-    row = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
-    rows = docs.select(row, F.col(f"`{text}`").alias("_text"))
+    row = F.struct(*[exact(c) for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
+    rows = docs.select(row, exact(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -274,7 +274,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=["_row", *added])
 
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(run, with_row(rows, "lang_pred string, score double, rejected boolean"))
     return out.select(*[F.col("_row")[c].alias(c) for c in keep], *added)
 
 

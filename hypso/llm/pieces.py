@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import exact, small_batches, table, with_row
 
 MARK = "▁"
 #: Segments that a worker keeps.
@@ -246,9 +246,9 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep:
             middle = pa.array(columns[1], pa.string() if digests else pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(columns[0], pa.int64()), middle, pa.array(columns[2], pa.string())], names=["_row", *added])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
-    rows = docs.select(row, F.col(f"`{text}`").alias("_text"))
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, {kind}")
+    row = F.struct(*[exact(c) for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
+    rows = docs.select(row, exact(text).alias("_text"))
+    out = rows.mapInArrow(run, with_row(rows, kind))
     return out.select(*[F.col("_row")[c].alias(c) for c in keep], *added)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, small_batches, table
+from .common import BLANKS, exact, small_batches, table, with_row
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "national_phone", "secret", "ssn")
@@ -412,8 +412,8 @@ def personal_data(docs: DataFrame, text: str = "text", keep: list[str] | None =
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
     small_batches(docs.sparkSession)
     kind = "array<struct<kind:string,start:int,end:int,base:boolean>>"
-    row = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
-    rows = docs.select(row, F.col(f"`{text}`").alias("_text"))
+    row = F.struct(*[exact(c) for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
+    rows = docs.select(row, exact(text).alias("_text"))
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +422,7 @@ def personal_data(docs: DataFrame, text: str = "text", keep: list[str] | None =
             items = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in own] for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(items, spans)], names=["_row", "spans"])
 
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, spans {kind}")
+    out = rows.mapInArrow(run, with_row(rows, f"spans {kind}"))
     return out.select(*[F.col("_row")[c].alias(c) for c in keep], "spans")
 
 

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, checkpoint, let, table, written
+from .common import BLANKS, WORD, checkpoint, exact, let, table, written
 
 #: Unit of the transformed statistics: 1/256.
 UNIT = 256
@@ -79,14 +79,14 @@ def repeated_words(words: Column) -> Column:
 def base_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """`_row` (the columns `keep` as a struct), language, source and the base statistics."""
     keep = docs.columns if keep is None else keep
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    body = F.coalesce(exact(text), F.lit(""))
     words = let(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
     lines = let(
         F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0),
         lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")),
     )
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
-    named = lambda c, alias: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("")).alias(alias)
+    row = F.struct(*[exact(c) for c in keep]).alias("_row")
+    named = lambda c, alias: F.coalesce(F.concat(F.lit("="), exact(c)), F.lit("")).alias(alias)
     found = docs.select(row, named(lang, "_lang"), named(source, "_source"), words.alias("_w"), lines.alias("_l"), F.length(F.translate(body, BLANKS, "")).cast("long").alias("word_chars"), F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"))
     return found.select(
         "_row", "_lang", "_source",

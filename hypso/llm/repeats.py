@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, small_batches, table, written
+from .common import BLANKS, exact, small_batches, table, with_row, written
 
 #: A sentence span: at least so many sentences, and so many words.
 SENTENCES, WORDS = 2, 8
@@ -76,7 +76,7 @@ def _signed(h: int) -> int:
 
 def _own(column: str) -> F.Column:
     """The document's place in the order; null comes last."""
-    return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(_LAST)).alias("_doc")
+    return F.coalesce(exact(column).cast("long"), F.lit(_LAST)).alias("_doc")
 
 
 def _runs(docs: DataFrame, key: str, text: str, cut: Callable, fields: int) -> DataFrame:
@@ -96,7 +96,7 @@ def _runs(docs: DataFrame, key: str, text: str, cut: Callable, fields: int) -> D
                     column += values
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["_doc", *names])
 
-    return docs.select(_own(key), F.col(f"`{text}`").alias("_text")).mapInArrow(run, "_doc long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(_own(key), exact(text).alias("_text")).mapInArrow(run, "_doc long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _earlier(runs: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def _earlier(runs: DataFrame) -> DataFrame:
 def _rewritten(docs: DataFrame, hits: DataFrame, key: str, text: str, cut: Callable, keep: list[str]) -> DataFrame:
     """The columns `keep` with clean_text, n_units, n_removed and removed ("first-end" of runs of units)."""
     small_batches(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
-    rows = docs.select(row, _own(key), F.col(f"`{text}`").alias("_text")).join(hits, "_doc", "left").select("_row", "_text", "_hits")
+    row = F.struct(*[exact(c) for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
+    rows = docs.select(row, _own(key), exact(text).alias("_text")).join(hits, "_doc", "left").select("_row", "_text", "_hits")
     added = ["clean_text", "n_units", "n_removed", "removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def _rewritten(docs: DataFrame, hits: DataFrame, key: str, text: str, cut: Calla
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["_row", *added])
 
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, clean_text string, n_units long, n_removed long, removed string")
+    out = rows.mapInArrow(run, with_row(rows, "clean_text string, n_units long, n_removed long, removed string"))
     return out.select(*[F.col("_row")[c].alias(c) for c in keep], *added)
 
 
@@ -182,7 +182,7 @@ def line_stage(docs: DataFrame) -> DataFrame:
     found = without_repeated_lines(docs, keep=docs.columns)
     body = F.col("clean_text")
     left = found.where((F.length(F.translate(body, BLANKS, "")) > 0) | (F.col("n_removed") == 0))
-    other = [F.length(body).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else body.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    other = [F.length(body).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else body.alias(c) if c == "text" else exact(c) for c in docs.columns]
     return left.select(*other)
 
 

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import exact, table, written
 
 #: Cells of the grid beyond n, at most; bounds the cycle walk.
 SLACK = 15
@@ -103,10 +103,10 @@ def feistel_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 0, text: s
     """
     keep = docs.columns if keep is None else keep
     added = ["size", "text_crc32", "row_number", "position", "shard", "slot"]
-    body = F.col(f"`{text}`")
+    body = exact(text)
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep if c not in added] or [F.lit(None).alias("_none")]).alias("_row"),
-        F.col(f"`{key}`").alias("_k"),
+        F.struct(*[exact(c) for c in keep if c not in added] or [F.lit(None).alias("_none")]).alias("_row"),
+        exact(key).alias("_k"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
     )
