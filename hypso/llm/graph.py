@@ -10,17 +10,18 @@ from .common import checkpoint
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of links (a, b: long), label being the least node of its
-    component. Rounds of taking the least label around and then the label's own label, until
-    nothing changes; chains shorten by half each round. Nothing is gathered: minima combine on
-    the map side, and joins on a much-linked node can be split. No links give no rows.
+    component. In each round a node takes the least label of itself, its neighbours and the node
+    that it is labelled with, until nothing changes; chains shorten by half each round. Nothing
+    is gathered: minima combine on the map side, and the join on a much-linked node can be
+    split. No links give no rows.
     """
-    both = checkpoint(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    both = checkpoint(both)
     while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
-        lower = labels.join(around, labels["node"] == around["a"]).select("node", F.least("label", "least").alias("near"), F.col("label").alias("was"))
-        own = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        after = checkpoint(lower.join(own, "near").select("node", F.least("near", "far").alias("label"), "was"))
-        labels = after.select("node", "label")
-        if after.where("label <> was").isEmpty():
+        around = both.union(labels).join(labels, F.col("b") == F.col("node")).select("a", "label", F.lit(None).cast("long").alias("own"))
+        after = around.union(labels.select("node", "label", "label")).groupBy("a").agg(F.min("label").alias("label"), F.max("own").alias("own"))
+        after = checkpoint(after)
+        labels = after.select(F.col("a").alias("node"), "label")
+        if after.where("label < own").isEmpty():
             return labels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +79,46 @@ def chop(costs: DataFrame, step: int, budget: int) -> DataFrame:
         middle = F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) / 2)
         south = rest.select("cell", "file_seq", middle.alias("lo"), "hi", F.concat("path", F.lit("0")).alias("path"))
         tiles = south.union(rest.select("cell", "file_seq", "lo", middle.alias("hi"), F.concat("path", F.lit("1")).alias("path")))
+
+
+def spline_coefficients(values: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic B-spline through values along axis 0, mirrored at the ends: a
+    causal and an anticausal recursion with the pole sqrt(3) - 2."""
+    n, pole = len(values), 3**0.5 - 2
+    if n < 2:
+        return values.astype(np.float64)
+    c = values.astype(np.float64) * 6.0
+    reach = min(n, 60)  # the pole's powers vanish beyond
+    powers = pole ** np.arange(reach)
+    if reach < n:
+        c[0] = np.tensordot(powers, c[:reach], 1)
+    else:  # the mirrored sequence has the period 2n - 2
+        weights = pole ** np.arange(n) + np.r_[0, pole ** (2 * n - 2 - np.arange(1, n - 1)), 0]
+        c[0] = np.tensordot(weights, c, 1) / (1 - pole ** (2 * n - 2))
+    for k in range(1, n):
+        c[k] += pole * c[k - 1]
+    c[-1] = (pole / (pole * pole - 1)) * (c[-1] + pole * c[-2])
+    for k in range(n - 2, -1, -1):
+        c[k] = pole * (c[k + 1] - c[k])
+    return c
+
+
+def _stretched(values: np.ndarray, size: int) -> np.ndarray:
+    """The spline along axis 0 at size places from the first value to the last."""
+    n = len(values)
+    c = spline_coefficients(values)
+    at = np.linspace(0, n - 1, size)
+    low = np.minimum(np.floor(at).astype(int), max(n - 2, 0))
+    t = (at - low)[:, None]
+    mirrored = lambda k: np.where(k < 0, -k, np.where(k > n - 1, 2 * (n - 1) - k, k))
+    take = lambda d: c[mirrored(low + d)]
+    return ((1 - t) ** 3 * take(-1) + (3 * t**3 - 6 * t**2 + 4) * take(0) + (-3 * t**3 + 3 * t**2 + 3 * t + 1) * take(1) + t**3 * take(2)) / 6
+
+
+def super_sample(grid: np.ndarray, void: np.ndarray, zoom: float) -> tuple[np.ndarray, np.ndarray]:
+    """A raster with zoom times the rows and columns: samples by a cubic spline, rounded half to
+    even; voids from the nearest sample."""
+    rows, cols = (round(n * zoom) for n in grid.shape)
+    out = np.rint(_stretched(_stretched(grid, rows).T, cols).T)
+    near = lambda n, size: np.floor(np.linspace(0, n - 1, size) + 0.5).astype(int)
+    return out, void[np.ix_(near(grid.shape[0], rows), near(grid.shape[1], cols))]
