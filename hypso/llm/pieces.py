@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import exact, small_batches, table, with_row
 
 MARK = "▁"
-#: Segments that a worker keeps.
-STORE = 200_000
+#: Segments that a worker keeps, in each of two generations.
+STORE = 300_000
 
 
 class Pieces:
@@ -37,7 +36,7 @@ class Pieces:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        size = sp.vocab_size()
+        self.size = size = sp.vocab_size()
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(size)]
         self.text = [sp.id_to_piece(i) for i in range(size)]
         self.id = {self.text[i]: i for i in range(size) if not special[i]}
@@ -62,8 +61,11 @@ class Pieces:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.output = {i: (i,) if i < size else tuple(self.byte[b] for b in self.text[i].encode()) for i in self.id.values()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.length = [len(p) for p in self.text]
+        self.fits: list[dict[int, bool]] = [{} for _ in self.text]  # by the left token
+        self.tested = 0
         self.stored: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
         blanks = "".join(re.escape(c) for c in "\t\n\r" if c not in self.known)
         self.segments = re.compile(f"{MARK}+[^{MARK}{blanks}]*|[^{MARK}{blanks}]+" + (f"|[{blanks}]" if blanks else ""))
 
@@ -106,11 +108,14 @@ class Pieces:
 
     def compatible(self, x: int, y: int) -> bool:
         """True if merging the joined text of tokens x and y leaves x and y."""
-        found = self.fits.get((x, y))
+        found = self.fits[x].get(y)
         if found is None:
-            if len(self.fits) > 4 * STORE:
-                self.fits.clear()
-            found = self.fits[x, y] = self._apart(x, y)
+            self.tested += 1
+            if self.tested > 4 * STORE:
+                self.tested = 0
+                for row in self.fits:
+                    row.clear()
+            found = self.fits[x][y] = self._apart(x, y)
         return found
 
     def _apart(self, x: int, y: int) -> bool:
@@ -140,32 +145,45 @@ class Pieces:
             if not word or rest[0] == self.id[MARK]:
                 blanks, rest = blanks + 1, rest[1:]
             return (*self.merged(MARK * blanks)[0], *rest)
+        if self.known.issuperset(text):
+            return self._known_segment(text)
+        # Characters that no piece has stand alone, as their bytes, and part what is around them.
+        out: list[int] = []
+        start = 0
+        for k, c in enumerate(text):
+            if c not in self.known:
+                if start < k:
+                    out += self._known_segment(text[start:k])
+                out += [self.byte[b] for b in c.encode()]
+                start = k + 1
+        if start < len(text):
+            out += self._known_segment(text[start:])
+        return tuple(out)
+
+    def _known_segment(self, text: str) -> tuple[int, ...]:
+        """The last token of each prefix from the left, then the ids from the right."""
         last: list = [None] * (len(text) + 1)
-        fits, known = self.compatible, self.known
-        ended = 0
+        fits, compatible = self.fits, self.compatible
         for end, (token, length) in self.automaton.iter(text):
-            while ended < end:  # a character that no piece has stands alone
-                ended += 1
-                if last[ended] is None and text[ended - 1] not in known:
-                    last[ended] = text[ended - 1]
-            if last[end + 1] is None:
-                before = last[end + 1 - length]
-                if end + 1 == length or before.__class__ is str or (before is not None and fits(before, token)):
-                    last[end + 1] = token
-        for k in range(ended, len(text)):
-            if last[k + 1] is None and text[k] not in known:
-                last[k + 1] = text[k]
-        parts, at = [], len(text)
+            end += 1
+            if last[end] is None:
+                if end == length:
+                    last[end] = token
+                else:
+                    before = last[end - length]
+                    fit = fits[before].get(token)
+                    if compatible(before, token) if fit is None else fit:
+                        last[end] = token
+        parts, at, length, size = [], len(text), self.length, self.size
         while at:
             token = last[at]
-            if token.__class__ is str:
-                parts.append(tuple(self.byte[b] for b in token.encode()))
-                at -= 1
+            at -= length[token]
+            if token < size:
+                parts.append(token)
             else:
-                parts.append(self.output[token])
-                at -= len(self.text[token])
+                parts += reversed(self.output[token])
         parts.reverse()
-        return tuple(chain.from_iterable(parts))
+        return tuple(parts)
 
     def encode(self, text: str | None) -> tuple[list[int], list[str]]:
         """Ids, and the same as decimal text in parts to be joined by blanks. End id last."""
@@ -173,15 +191,18 @@ class Pieces:
         ids: list[int] = []
         words: list[str] = []
         if text:
-            stored = self.stored
+            stored, older = self.stored, self.older
             for part in self.segments.findall(MARK + text.replace(" ", MARK)):
                 found = stored.get(part)
                 if found is None:
-                    own = self.segment(part)
-                    found = (" ".join(map(str, own)), own)
+                    found = older.get(part)
+                    if found is None:
+                        own = self.segment(part)
+                        found = (" ".join(map(str, own)), own)
                     if len(part) <= 40:
                         if len(stored) > STORE:
-                            stored.clear()
+                            older = self.older = stored
+                            stored = self.stored = {}
                         stored[part] = found
                 words.append(found[0])
                 ids.extend(found[1])
