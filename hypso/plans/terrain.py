@@ -15,16 +15,16 @@ W = f"WITH {dem_sql()}"
 
 def dem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dem(spark, sf_dir)
-    return d.join(F.broadcast(header(d)), ["cell", "file_seq"]).select("cell", "file_seq", "i", "j", "z", F.floor((F.col("min_lon") + F.col("j") * F.col("inc")) * 1e6).alias("lon_e6"), F.floor((F.col("max_lat") - F.col("i") * F.col("inc")) * 1e6).alias("lat_e6"))
+    return d.join(F.broadcast(header(d)), ["cell", "file_seq"]).select("cell", "file_seq", "i", "j", F.col("z").cast("double").alias("z"), F.floor((F.col("min_lon") + F.col("j") * F.col("inc")) * 1e6).alias("lon_e6"), F.floor((F.col("max_lat") - F.col("i") * F.col("inc")) * 1e6).alias("lat_e6"))
 
 
 def void_mask(spark, sf_dir):
     d = raster.void_mask(dem(spark, sf_dir), VOID_MAX)
-    return d.select("cell", "i", "j", "z", F.col("z").isNull().alias("masked"))
+    return d.select("cell", "i", "j", F.col("z").cast("double").alias("z"), F.col("z").isNull().alias("masked"))
 
 
 def feet_levels(spark, sf_dir):
-    return raster.in_feet(dem(spark, sf_dir)).select("cell", "i", "j", F.floor(F.col("z") * 1e6).alias("feet_e6"))
+    return raster.in_feet(dem(spark, sf_dir)).select("cell", "i", "j", F.floor(F.col("z") * 1e6).cast("double").alias("feet_e6"))
 
 
 def tile_stats(spark, sf_dir):
@@ -65,7 +65,7 @@ def contour_segments(spark, sf_dir):
 
 
 def contour_rollup(spark, sf_dir):
-    return _segments(spark, sf_dir).rollup("cell", "level").agg(F.count(F.lit(1)).alias("n_segments"))
+    return _segments(spark, sf_dir).rollup("cell", "level").agg(F.count(F.lit(1)).alias("n_segments")).withColumn("level", F.col("level").cast("double"))
 
 
 def elev_class(spark, sf_dir):
@@ -155,9 +155,9 @@ _CLASS = "CASE WHEN {0} % 200 = 0 THEN 'elevation_major' WHEN {0} % 100 = 0 THEN
 _X, _Y = f"({_LON} * (pi() / 180.0) * 6378137.0)", f"(ln(tan(pi() / 4 + {_LAT} * (pi() / 360.0))) * 6378137.0)"
 _near = "CAST(floor({0} + 0.5) AS BIGINT)"
 ORACLE = {
-    "dem_scan": f"{W} SELECT cell, file_seq, i, j, z, CAST(floor({_LON} * 1e6) AS BIGINT) AS lon_e6, CAST(floor({_LAT} * 1e6) AS BIGINT) AS lat_e6 FROM dem",
-    "void_mask": f"{W} SELECT cell, i, j, CASE WHEN z > {VOID_MAX} THEN z END AS z, coalesce(z <= {VOID_MAX}, true) AS masked FROM dem",
-    "feet_levels": f"{W} SELECT cell, i, j, CAST(floor(z * (1.0::DOUBLE / 0.3048::DOUBLE) * 1e6) AS BIGINT) AS feet_e6 FROM dem",
+    "dem_scan": f"{W} SELECT cell, file_seq, i, j, z::DOUBLE AS z, CAST(floor({_LON} * 1e6) AS BIGINT) AS lon_e6, CAST(floor({_LAT} * 1e6) AS BIGINT) AS lat_e6 FROM dem",
+    "void_mask": f"{W} SELECT cell, i, j, CASE WHEN z > {VOID_MAX} THEN z::DOUBLE END AS z, coalesce(z <= {VOID_MAX}, true) AS masked FROM dem",
+    "feet_levels": f"{W} SELECT cell, i, j, floor(z * (1.0::DOUBLE / 0.3048::DOUBLE) * 1e6)::DOUBLE AS feet_e6 FROM dem",
     "tile_stats": f"{W}, t AS (SELECT cell, count(DISTINCT i) AS n_rows, count(DISTINCT j) AS n_cols, min(z) AS min_ele, max(z) AS max_ele, count(z) AS n_samples FROM dem GROUP BY cell) SELECT *, cell || ' ' || n_rows || 'x' || n_cols || ' ' || min_ele || '..' || max_ele AS said FROM t",
     "node_estimate": f"{_COSTS} SELECT cell, CAST(floor((sum(dx) + sum(dy)) / {STEP}.0::DOUBLE) AS BIGINT) AS estimate FROM steps GROUP BY cell",
     "area_crop": f"{W} SELECT cell, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, count(*) AS samples, sum(z)::BIGINT AS sum_z FROM dem WHERE {_LON} BETWEEN 6.25 - 1e-9 AND 7.4 + 1e-9 AND {_LAT} BETWEEN 43.3 - 1e-9 AND 44.125 + 1e-9 GROUP BY cell",
@@ -173,7 +173,7 @@ tiles AS (SELECT cell, '' AS path, 0::BIGINT AS lo, {_N1}::BIGINT AS hi, floor((
 SELECT cell, path, lo, hi, CAST(e AS BIGINT) AS estimate FROM tiles WHERE e <= {BUDGET} OR hi - lo < 2""",
     "contour_levels": f"{W}, t AS (SELECT cell, min(z) AS a, max(z) AS b FROM dem GROUP BY cell), l AS (SELECT cell, unnest(range(CAST(ceil(a / {STEP}.0::DOUBLE) AS BIGINT) * {STEP}, CAST(ceil(b / {STEP}.0::DOUBLE) AS BIGINT) * {STEP}, {STEP})) AS level FROM t) SELECT cell, level FROM l WHERE level <> 0",
     "contour_segments": f"{_SEG} SELECT cell, level, i, j, seg, k1, k2, CAST(floor(x1 * 1e6) AS BIGINT) AS x1_e6, CAST(floor(y1 * 1e6) AS BIGINT) AS y1_e6, CAST(floor(x2 * 1e6) AS BIGINT) AS x2_e6, CAST(floor(y2 * 1e6) AS BIGINT) AS y2_e6 FROM segments",
-    "contour_rollup": f"{_SEG} SELECT cell, level, count(*) AS n_segments FROM segments GROUP BY ROLLUP (cell, level)",
+    "contour_rollup": f"{_SEG} SELECT cell, level::DOUBLE AS level, n_segments FROM (SELECT cell, level, count(*) AS n_segments FROM segments GROUP BY ROLLUP (cell, level))",
     "elev_class": f"{_SEG} SELECT cell, level, count(*) AS n_segments, {_CLASS.format('level')} FROM segments GROUP BY cell, level",
     "slice_segments": f"{segments_sql(32)} SELECT cell, level AS elevation, count(*) AS n_segments, {_CLASS.format('level')} FROM segments GROUP BY cell, level",
     "contour_counts": f"{_SEG} SELECT cell, level, count(*) AS n_segments FROM segments GROUP BY cell, level",

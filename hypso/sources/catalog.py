@@ -114,7 +114,8 @@ def preferred(wanted: DataFrame, held: DataFrame, order: list[str]) -> DataFrame
     rank combines on the map side, so a popular cell is no hot key."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("nick"))
     best = held.withColumn("rank", rank).where("rank > 0").groupBy("cell").agg(F.min("rank").alias("rank"))
-    return wanted.join(best, "cell", "left").select("cell", F.element_at(F.array(*map(F.lit, order)), F.col("rank").cast("int")).alias("nick"))
+    named = best.select("cell", F.element_at(F.array(*map(F.lit, order)), F.col("rank").cast("int")).alias("nick"))
+    return wanted.join(named, "cell", "left").select("cell", "nick")
 
 
 def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
