@@ -11,10 +11,10 @@ EARTH = 6378137.0
 FOOT = 1.0 / 0.3048
 
 
-def cell_name(lat: Column, lon: Column, width: int = 3) -> Column:
-    """[NS]YY[EW]XXX of the lower left corner."""
-    side = lambda x, plus, minus, form: F.concat(F.when(x < 0, minus).otherwise(plus), F.format_string(form, F.abs(x)))
-    return F.concat(side(lat, "N", "S", "%02d" if width == 3 else f"%0{width}d"), side(lon, "E", "W", f"%0{width}d"))
+def cell_name(lat: Column, lon: Column, pad: int = 2) -> Column:
+    """[NS]YY[EW]XXX of the lower left corner; pad: digits of the latitude."""
+    side = lambda x, plus, minus, digits: F.concat(F.when(x < 0, minus).otherwise(plus), F.format_string(f"%0{digits}d", F.abs(x)))
+    return F.concat(side(lat, "N", "S", pad), side(lon, "E", "W", 3))
 
 
 def cell_lat(name: Column) -> Column:

@@ -73,7 +73,8 @@ def segments(squares: DataFrame, step: int) -> DataFrame:
     void corner counts as a triangle, with more it has none. No join: a square's levels are a
     sequence between its corners."""
     corners = [F.col(c) for c in ("nw", "ne", "sw", "se")]
-    low, high = next_multiple(F.least(*corners), step), next_multiple(F.greatest(*corners), step) - step
+    whole = lambda x: F.ceil(x).cast("long")
+    low, high = next_multiple(whole(F.least(*corners)), step), next_multiple(whole(F.greatest(*corners)), step) - step
     known = sum((c.isNotNull().cast("int") for c in corners[1:]), corners[0].isNotNull().cast("int"))
     leveled = squares.where(known >= 3).withColumn("level", F.explode(F.when(low <= high, F.sequence(low, high, F.lit(step).cast("long")))))
     spark = squares.sparkSession
