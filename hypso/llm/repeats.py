@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANKS, exact, small_batches, table, with_row, written
@@ -74,42 +74,45 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _own(column: str) -> F.Column:
-    """The document's place in the order; null comes last."""
-    return F.coalesce(exact(column).cast("long"), F.lit(_LAST)).alias("_doc")
+def _own(key: str, text: str) -> list[Column]:
+    """The document's place in the order, null last, and a salt that parts a doc_id that many
+    texts share: what occurs before a text depends on its doc_id and its runs alone."""
+    return [F.coalesce(exact(key).cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(exact(text)).bitwiseAND(0xFFFF).alias("_salt")]
 
 
 def _runs(docs: DataFrame, key: str, text: str, cut: Callable, fields: int) -> DataFrame:
-    """_doc and, for each different run of a document, its hash `_run` (and fingerprint `_print`)."""
+    """_doc, _salt and, for each different run of a text, its hash `_run` (and fingerprint `_print`)."""
     small_batches(docs.sparkSession)
     names = ["_run", "_print"][:fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, columns = [], [[] for _ in names]
-            for d, value in zip(batch.column("_doc").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            doc, salt, columns = [], [], [[] for _ in names]
+            for d, own, value in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_salt", "_text")), strict=True):
                 if not value:
                     continue
                 found = {tuple(map(_signed, r[2:])) for r in cut(value)[1]}
                 doc += [d] * len(found)
+                salt += [own] * len(found)
                 for column, values in zip(columns, zip(*found, strict=True), strict=False):
                     column += values
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["_doc", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, salt, *columns)], names=["_doc", "_salt", *names])
 
-    return docs.select(_own(key), exact(text).alias("_text")).mapInArrow(run, "_doc long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(*_own(key, text), exact(text).alias("_text")).mapInArrow(run, "_doc long, _salt long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _earlier(runs: DataFrame) -> DataFrame:
-    """For each document its runs that a document before it has: _doc, _hits."""
+    """For each text its runs that a document before it has: _doc, _salt, _hits."""
     first = runs.groupBy("_run").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last").select("_run", "_first")
-    return runs.join(first, "_run").where("_doc > _first").groupBy("_doc").agg(F.collect_set("_run").alias("_hits"))
+    # Written, so that the join doesn't take over the aggregate's partitions and can split a common run.
+    return runs.join(written(first), "_run").where("_doc > _first").groupBy("_doc", "_salt").agg(F.collect_set("_run").alias("_hits"))
 
 
 def _rewritten(docs: DataFrame, hits: DataFrame, key: str, text: str, cut: Callable, keep: list[str]) -> DataFrame:
     """The columns `keep` with clean_text, n_units, n_removed and removed ("first-end" of runs of units)."""
     small_batches(docs.sparkSession)
     row = F.struct(*[exact(c) for c in keep] or [F.lit(0).alias("_none")]).alias("_row")
-    rows = docs.select(row, _own(key), exact(text).alias("_text")).join(hits, "_doc", "left").select("_row", "_text", "_hits")
+    rows = docs.select(row, *_own(key, text), exact(text).alias("_text")).join(hits, ["_doc", "_salt"], "left").select("_row", "_text", "_hits")
     added = ["clean_text", "n_units", "n_removed", "removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     cut = lambda t: line_windows(t, count)
     windows = written(_runs(docs, key, text, cut, 2))
     shared = windows.groupBy("_print").agg(F.min("_doc").alias("_a"), F.max("_doc").alias("_b")).where("_a < _b").select("_print")
-    candidates = windows.join(shared, "_print").select("_doc", "_run")
+    candidates = windows.join(written(shared), "_print").select("_doc", "_salt", "_run")
     return _rewritten(docs, _earlier(candidates), key, text, cut, keep)
 
 
