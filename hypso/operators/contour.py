@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import next_multiple
 
+#: Raster rows in a band.
 BAND = 16
+#: Points between a chord's ends from which on distances are taken all at once.
+WIDE = 24
 
 
 def levels(stats: DataFrame, step: int, low: int | None = None, high: int | None = None, zero: bool = True) -> DataFrame:
@@ -133,17 +137,24 @@ def simplified(xs: list[float], ys: list[float], epsilon: float | None) -> list[
         return list(range(n))
     keep = [False] * n
     keep[0] = keep[-1] = True
+    x, y = np.asarray(xs), np.asarray(ys)
     stack = [(0, n - 1)]
     while stack:
         a, b = stack.pop()
         dx, dy = xs[b] - xs[a], ys[b] - ys[a]
         size = (dx * dx + dy * dy) ** 0.5
         best, at = -1.0, -1
-        for k in range(a + 1, b):
-            px, py = xs[k] - xs[a], ys[k] - ys[a]
-            d = abs(dx * py - dy * px) / size if size else (px * px + py * py) ** 0.5
-            if d > best:
-                best, at = d, k
+        if b - a > WIDE:
+            px, py = x[a + 1 : b] - xs[a], y[a + 1 : b] - ys[a]
+            d = np.abs(dx * py - dy * px) / size if size else np.sqrt(px * px + py * py)
+            at = int(d.argmax())
+            best, at = float(d[at]), at + a + 1
+        else:
+            for k in range(a + 1, b):
+                px, py = xs[k] - xs[a], ys[k] - ys[a]
+                d = abs(dx * py - dy * px) / size if size else (px * px + py * py) ** 0.5
+                if d > best:
+                    best, at = d, k
         if best > epsilon:
             keep[at] = True
             stack += [(a, at), (at, b)]
