@@ -23,11 +23,14 @@ def row_crossings(edges_: DataFrame, header: DataFrame) -> DataFrame:
     """For each raster row the sorted longitudes at which each ring's edges cross it:
     file_seq, i, rings array<array<double>>. An edge goes to the rows between its ends only, so
     the work is in proportion to crossings, and samples need no join with edges at all."""
-    by_row = edges_.crossJoin(F.broadcast(header))  # a row for each raster file
     top, bottom = F.greatest("y1", "y2"), F.least("y1", "y2")
+    # Edges and files meet in whole degrees of latitude; edges to the west of a file are on no ray from it.
+    lowest = F.col("max_lat") - (F.col("n") - 1) * F.col("inc")
+    bands = header.withColumn("band", F.explode(F.sequence(F.floor(lowest), F.floor("max_lat"))))
+    by_row = edges_.withColumn("band", F.explode(F.sequence(F.floor(bottom), F.floor(top)))).join(bands, "band").where("greatest(x1, x2) >= min_lon")
     first = F.greatest(F.floor((F.col("max_lat") - top) / F.col("inc")) - 1, F.lit(0))
     last = F.least(F.ceil((F.col("max_lat") - bottom) / F.col("inc")) + 1, (F.col("n") - 1).cast("long"))
-    rows = by_row.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("lat", F.col("max_lat") - F.col("i") * F.col("inc"))
+    rows = by_row.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("lat", F.col("max_lat") - F.col("i") * F.col("inc")).where(F.floor("lat") == F.col("band"))
     rows = rows.where("(y1 > lat) <> (y2 > lat)").withColumn("at", (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     per_ring = rows.groupBy("file_seq", "i", "ring").agg(F.collect_list("at").alias("xs"))
     return per_ring.groupBy("file_seq", "i").agg(F.collect_list("xs").alias("rings"))
