@@ -28,31 +28,65 @@ SENTENCES, WORDS = 2, 8
 #: Lines in a window: every repeated run of so many lines has a common fingerprint.
 LINES = 2
 
-_SENTENCE = re.compile(r"(?s).+?(?:[.!?]+[\"')\]|]*\s+|\n\s*|\Z)")
+#: One word in so many ends a part of a sentence.
+PART = 12
+_WORD = re.compile(r"\S+\s*")
 _LAST = (1 << 63) - 1
 
 
+class _Ends(dict):
+    """Whether a word, with the blanks after it, ends a unit; kept for words seen so far."""
+
+    def __missing__(self, word: str) -> bool:
+        bare = word.rstrip()
+        closed = bare.rstrip("\"')]|")[-1:] in (".", "!", "?")
+        found = closed or "\n" in word[len(bare) :] or xxhash.xxh32_intdigest(bare) % PART == 0
+        if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_ends = _Ends()
+
+
 def sentences(text: str) -> list[str]:
-    """Sentences with what follows them up to the next; a line end ends one, too."""
-    return _SENTENCE.findall(text)
+    """Sentences with the blanks after them; a line end ends one, too.
+
+    Sentences are cut into parts after words that their own hash picks, one in PART. A passage
+    that was put into the middle of a sentence so has most of its parts in common with the same
+    passage elsewhere, whatever its first and last sentence were joined to. In work linear in the text.
+    """
+    words = _WORD.findall(text)
+    if not words:
+        return [text] if text else []
+    words[0] = text[: len(text) - sum(map(len, words))] + words[0]
+    ends = _ends
+    cuts = [0, *(k for k, word in enumerate(words[:-1], 1) if ends[word]), len(words)]
+    return ["".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def sentence_spans(text: str, count: int = SENTENCES, words: int = WORDS) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """Units, and for each start the shortest run of at least `count` sentences and `words`
-    words: first unit, end, hash. Where a run ends depends on its own sentences alone."""
+    """Units, and for each start the shortest run of at least `count` units and `words` words:
+    first unit, end, hash. Where a run ends depends on its own units alone."""
     units = sentences(text)
-    bare = [u.split() for u in units]
-    real = [k for k, u in enumerate(bare) if u]
+    sizes, hashes = [], []
+    for u in units:
+        bare = u.split()
+        sizes.append(len(bare))
+        hashes.append(xxhash.xxh64_digest(" ".join(bare)))
+    if units and not sizes[0]:
+        return units, []
     out, high, total = [], 0, 0
-    for low in range(len(real)):
-        while high < len(real) and (high - low < count or total < words):
-            total += len(bare[real[high]])
+    for low in range(len(units)):
+        while high < len(units) and (high - low < count or total < words):
+            total += sizes[high]
             high += 1
         if high - low < count or total < words:
             break
-        run = "\n".join(" ".join(bare[k]) for k in real[low:high])
-        out.append((real[low], real[high - 1] + 1, xxhash.xxh64_intdigest(run)))
-        total -= len(bare[real[low]])
+        out.append((low, high, xxhash.xxh64_intdigest(b"".join(hashes[low:high]))))
+        total -= sizes[low]
     return units, out
 
 
@@ -142,9 +176,9 @@ def _rewritten(docs: DataFrame, hits: DataFrame, key: str, text: str, cut: Calla
 
 def without_repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, count: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """Substring dedup: the columns `keep` (all but the text by default) with clean_text,
-    n_units (sentences), n_removed and removed.
+    n_units (sentences and parts), n_removed and removed.
 
-    Every run of `count` or more sentences with `words` or more words, as short as that
+    Every run of `count` or more sentences or parts of them with `words` or more words, as short as that
     allows, is hashed; sentences that a run covers which occurs earlier are removed.
     "Earlier" is further up in the text, or in a document of lower doc_id. Rows that share a
     doc_id (null: one document, the last) count as one document: what they have in common
