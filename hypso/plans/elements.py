@@ -122,8 +122,8 @@ def o5m_sink(spark, sf_dir):
 def o5m_string_table(spark, sf_dir):
     """What stands for each of a sequence of strings, in hex."""
     def run(batches):
+        table = o5m.Strings()  # one for all batches of the one partition
         for pdf in batches:
-            table = o5m.Strings()
             yield pd.DataFrame({"k": pdf["k"], "hex": [table.add(s.encode()).hex() for s in pdf["s"]]})
 
     words = spark.range(0, 2000, 1, 1).select(F.col("id").alias("k"), F.concat(F.lit("s"), F.col("id") * F.col("id") % 97).alias("s"))
