@@ -29,7 +29,7 @@ SENTENCES, WORDS = 2, 8
 LINES = 2
 
 #: One word in so many ends a part of a sentence.
-PART = 12
+PART = 8
 _WORD = re.compile(r"\S+\s*")
 _LAST = (1 << 63) - 1
 

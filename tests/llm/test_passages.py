@@ -31,7 +31,7 @@ def left_of(texts: list[str]) -> list[str]:
 
 def test_most_of_a_passage_goes_wherever_it_was_put():
     """Sixty words without a full stop, in the midst of other sentences: the worst case. Two whole
-    parts need three cuts in the passage; at one word in twelve it has fewer in an eighth of all cases."""
+    parts need three cuts in the passage; at one word in eight it has fewer in 2 % of all cases."""
     rng = np.random.default_rng(3)
     shares = []
     for _ in range(200):
@@ -43,7 +43,7 @@ def test_most_of_a_passage_goes_wherever_it_was_put():
         shares.append(sum(w in kept for w in passage) / 60)
         own = [w for w in texts[1].split() if w.strip(".") not in passage]
         assert all(w in kept for w in own)
-    assert np.mean(shares) < 0.5 and np.mean(np.array(shares) == 1) < 0.18
+    assert np.mean(shares) < 0.35 and np.mean(np.array(shares) == 1) < 0.05
 
 
 def test_texts_of_their_own_stay():
