@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,27 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one set here (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, else a temporary one (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
     if not folder:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="hypso-checkpoint-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
+        folder = _own[0] if _own else tempfile.mkdtemp(prefix="hypso-shared-")
+        _own[:] = [folder]
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark drops the files with the DataFrame."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors,
-    and is smaller than a checkpoint where rows are wide. Removed by release() or at exit."""
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    Unlike a checkpoint it doesn't carry on the constraints that the optimizer infers, which in
+    loops grow until planning takes minutes and the driver's memory. Removed by release() or at exit.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hypso-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -82,6 +76,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows with whole texts go to Python in batches of so many, so that a worker's memory is bounded."""
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Rows with whole texts go to Python in batches of so many rows and bytes at most, so that a
+    worker's memory is bounded by the longest text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -25,7 +25,7 @@ from .common import exact, small_batches, table, with_row
 
 MARK = "▁"
 #: Segments that a worker keeps, in each of two generations.
-STORE = 300_000
+STORE = 200_000
 
 
 class Pieces:

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, checkpoint, exact, let, table, written
+from .common import BLANKS, WORD, exact, let, table, written
 
 #: Unit of the transformed statistics: 1/256.
 UNIT = 256
@@ -188,14 +188,14 @@ def judged(docs: DataFrame, keep: list[str] | None = None, **columns) -> DataFra
     rows = written(spark.sql(TRANSFORMED + " FROM {rows}", rows=base))
     frames = {"rows": rows}
     healthy = "WITH healthy AS (SELECT _lang, _source, x1, x2, x3, x4 FROM {rows} WHERE NOT base_failed),\n" + GROUPS
-    frames["groups"] = checkpoint(spark.sql(healthy + "\nSELECT * FROM groups", rows=rows))
+    frames["groups"] = written(spark.sql(healthy + "\nSELECT * FROM groups", rows=rows))
     frames["fit"] = spark.sql("SELECT groups.g, x1, x2, x3, x4 FROM {rows} JOIN {groups} groups ON _lang = gl AND _source = gs WHERE NOT base_failed", rows=rows, groups=frames["groups"])
     for step in estimates("percentile({x}, {p})"):  # the estimates are a row a group; lineage is cut after each step
         *before, (name, last) = step
         text = "WITH " + ",\n".join(f"{n} AS ({x})" for n, x in before) + f"\n{last}"
         known = [n for n in frames if re.search(rf"\b{n}\b(?!\.)", text)]
         views = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in known)
-        frames[name] = checkpoint(spark.sql(text.replace("WITH ", f"WITH {views},\n", 1), **{n: frames[n] for n in known}))
+        frames[name] = written(spark.sql(text.replace("WITH ", f"WITH {views},\n", 1), **{n: frames[n] for n in known}))
     last = f"p{STEPS}"
     return spark.sql(f"WITH all_rows AS (SELECT * FROM {{rows}}), groups AS (SELECT * FROM {{groups}}), {last} AS (SELECT * FROM {{{last}}})\n" + verdicts("_row"), rows=rows, groups=frames["groups"], **{last: frames[last]})
 

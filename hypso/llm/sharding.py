@@ -109,8 +109,9 @@ def feistel_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 0, text: s
         exact(key).alias("_k"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
+        F.monotonically_increasing_id().alias("_tie"),
     )
-    order = ["_k", "text_crc32", "size"]
+    order = ["_k", "text_crc32", "size", "_tie"]  # the last parts the copies of a row that occurs very often
     ranged = base.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = written(ranged.withColumn("_m", F.monotonically_increasing_id()))  # partition and place, fixed from here on
     rows = rows.withColumn("_p", F.shiftright("_m", 33))

@@ -177,7 +177,7 @@ def test_recordings_align(spark):
     data = []
     for s in range(6):
         x = tune(s, 4)
-        data += [(10 * s, as_bytes(x)), (10 * s + 1, as_bytes(x + rng.normal(0, 0.02, len(x)))), (10 * s + 2, as_bytes(x[320:])), (10 * s + 3, as_bytes(x))]
+        data += [(10 * s, as_bytes(x)), (10 * s + 1, as_bytes(x + rng.normal(0, 0.01, len(x)))), (10 * s + 2, as_bytes(x[320:])), (10 * s + 3, as_bytes(x))]
     data += [(100, None), (101, b""), (102, b"abc"), (103, b"abc")]
     found = audio.recordings(spark.createDataFrame(data, "id long, sound binary"), "id", F.col("sound")).collect()
     own = {r["_doc"]: r["class_id"] for r in found}
