@@ -101,6 +101,26 @@ def test_a_crowd_and_a_chain(spark):
     assert {own[k] for k in range(100, 130)} == {100} and own[201] == 0 and len(set(own.values())) == 81
 
 
+def test_pairs_in_a_crowd_are_found(spark):
+    """A thousand planted pairs over a passage that makes up 80 % of each text."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    passage = " ".join(word() for _ in range(160))
+    data = []
+    for k in range(1000):
+        own = [word() for _ in range(40)]
+        other = list(own)
+        for at in (3, 20, 37):
+            other[at] = word()
+        data += [(2 * k, passage + " " + " ".join(own)), (2 * k + 1, passage + " " + " ".join(other))]
+    for a, b in zip(data[::2], data[1::2], strict=True):
+        x, y = (labelled(t[1]) for t in (a, b))
+        m = matched(x, y)
+        assert m >= 0.8 * (len(x) + len(y) - m)
+    found = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["_doc"]: r["class_id"] for r in found} == {k: k // 2 * 2 for k in range(2000)}
+
+
 def test_order_counts(spark):
     """The same shingles in another order are not similar."""
     words = [f"w{k}" for k in range(300)]
