@@ -27,6 +27,8 @@ from .common import BLANKS, exact, small_batches, table, with_row, written
 SENTENCES, WORDS = 2, 8
 #: Lines in a window: every repeated run of so many lines has a common fingerprint.
 LINES = 2
+#: Words from which on a line is a run by itself.
+LONG = 8
 
 #: One word in so many ends a part of a sentence.
 PART = 8
@@ -90,15 +92,20 @@ def sentence_spans(text: str, count: int = SENTENCES, words: int = WORDS) -> tup
     return units, out
 
 
-def line_windows(text: str, count: int = LINES) -> tuple[list[str], list[tuple[int, int, int, int]]]:
-    """Units (lines with their line end), and each window of `count` lines that have a word:
-    first unit, end, hash of the window, fingerprint (the least hash of its lines)."""
+def line_windows(text: str, count: int = LINES, long: int = LONG) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """Units (lines with their line end), and each window of `count` lines that have a word and
+    each line of `long` or more words: first unit, end, hash of the window, fingerprint (the
+    least hash of its lines). Ends never go back."""
     units = text.split("\n")
     units = [u + "\n" for u in units[:-1]] + ([units[-1]] if units[-1] else [])
     real = [(k, b) for k, u in enumerate(units) if (b := u.strip(BLANKS))]
     hashes = [xxhash.xxh64_intdigest(b) for _, b in real]
     out = []
-    for low in range(len(real) - count + 1):
+    for low, (at, bare) in enumerate(real):
+        if count > 1 and len(bare.split(None, long)) >= long:
+            out.append((at, at + 1, xxhash.xxh64_intdigest(np.array([hashes[low]], np.uint64).tobytes()), hashes[low]))
+        if low + count > len(real):
+            continue
         part = hashes[low : low + count]
         out.append((real[low][0], real[low + count - 1][0] + 1, xxhash.xxh64_intdigest(np.array(part, np.uint64).tobytes()), min(part)))
     return units, out
@@ -197,8 +204,8 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     """Line dedup by winnowing: the columns `keep` (all but the text by default) with
     clean_text, n_units (lines), n_removed and removed.
 
-    Each window of `count` lines that have a word selects the least of its line hashes as its
-    fingerprint, so two texts that share a run of `count` lines share a fingerprint at the
+    Each window of `count` lines that have a word, and each line of LONG or more words, selects
+    the least of its line hashes as its fingerprint, so two texts that share a run of `count` lines share a fingerprint at the
     same place of it. Fingerprints that only one document has are dropped; around the others
     the match is extended both ways, to every window that selected it, and windows that occur
     earlier are deleted; as they overlap, a repeated run goes from its first line to its

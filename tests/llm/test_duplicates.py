@@ -181,6 +181,14 @@ def test_planted_passages_go_from_the_later_document(spark):
     assert left[3] == data[2][1] and left[4] == "other head\nother tail" and left[5] == data[4][1] and left[6] == data[5][1]
 
 
+def test_a_long_line_is_a_run_by_itself(spark):
+    licence = "This one line of a licence has more than eight words in it."
+    data = [(1, f"head\n{licence}\ntail"), (2, f"other\n\n{licence}\n\nend"), (3, licence), (4, f"x\n{licence}\nhead\n{licence}\ntail"), (5, "seven words are too few for this\na"), (6, "seven words are too few for this\nb")]
+    found = {r["doc_id"]: r for r in repeats.without_repeated_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [found[k]["clean_text"] for k in range(1, 7)] == [data[0][1], "other\n\n\nend", "", "x\n", data[4][1], data[5][1]]
+    assert [found[k]["removed"] for k in range(1, 7)] == ["", "2-3", "0-1", "1-5", "", ""]
+
+
 def tune(seed: int, seconds: float) -> np.ndarray:
     rng = np.random.default_rng(seed)
     t = np.arange(int(audio.RATE * 0.05)) / audio.RATE
