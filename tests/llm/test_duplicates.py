@@ -137,6 +137,13 @@ def test_one_of_each_keeps_a_row_of_every_class(spark, mixed_dir, rows):
     assert len(kept) == found + sum(r["text"] is None for r in rows)
 
 
+def test_one_of_near_copies_without_doc_ids_of_their_own_stays(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(200))
+    data = [(None, words("a")), (None, words("a") + " end"), (None, words("b")), (5, words("c")), (5, words("c") + " end"), (5, words("d"))]
+    kept = [r["text"] for r in neardup.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert sorted(t[0] for t in kept) == ["a", "b", "c", "d"]
+
+
 def plain_repeats(rows, cut):
     """What a plain loop removes: (doc, text) to what is left."""
     first = {}
