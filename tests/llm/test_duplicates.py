@@ -144,19 +144,65 @@ def test_one_of_near_copies_without_doc_ids_of_their_own_stays(spark):
     assert sorted(t[0] for t in kept) == ["a", "b", "c", "d"]
 
 
+def plain_sentences(text):
+    """Letter by letter: a sentence ends at blanks after a full stop with its closing marks, and at a line end."""
+    units, own, k = [], "", 0
+    while k < len(text):
+        own += text[k]
+        k += 1
+        closed = own.rstrip("\"')]|")
+        if text[k - 1] == "\n" or (k < len(text) and text[k].isspace() and closed and closed[-1] in ".!?"):
+            while k < len(text) and text[k].isspace():
+                own += text[k]
+                k += 1
+            units.append(own)
+            own = ""
+    return units + [own] if own else units
+
+
+def plain_spans_of(text):
+    """Units and all minimal runs of two sentences and eight words: those that no shorter one fits into
+    from their start or to their end."""
+    units = plain_sentences(text)
+    size = [len(u.split()) for u in units]
+    good = lambda a, b: b - a >= 2 and sum(size[a:b]) >= 8
+    runs = set()
+    for a in range(len(units)):
+        b = next((b for b in range(a + 2, len(units) + 1) if good(a, b)), None)
+        if b is None:
+            break
+        runs.add((a, b))
+    for b in range(2, len(units) + 1):
+        a = next((a for a in range(b - 2, -1, -1) if good(a, b)), None)
+        if a is not None:
+            runs.add((a, b))
+    return units, [(a, b, tuple(w for u in units[a:b] for w in [*u.split(), None])) for a, b in sorted(runs)]
+
+
+def plain_windows_of(text):
+    """Lines, and every window of two lines with a word and every line of eight words: no fingerprints."""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    real = [(k, u.strip(" \t\n\x0b\x0c\r")) for k, u in enumerate(units)]
+    real = [(k, u) for k, u in real if u]
+    runs = [(k, k + 1, (u,)) for k, u in real if len(re.split("[ \t\n\x0b\x0c\r]+", u)) >= 8]
+    runs += [(a, b + 1, (u, v)) for (a, u), (b, v) in zip(real, real[1:])]
+    return units, sorted(runs)
+
+
 def plain_repeats(rows, cut):
     """What a plain loop removes: (doc, text) to what is left."""
     first = {}
-    key = lambda d: (1 << 63) - 1 if d is None else d
-    for r in rows:
-        for run in cut(r["text"] or "")[1]:
-            first[run[2]] = min(first.get(run[2], key(None)), key(r["doc_id"]))
+    key = lambda r: ((1 << 63) - 1, r["text"]) if r["doc_id"] is None else (r["doc_id"], "")
+    known = [r for r in rows if r["text"]]
+    for r in known:
+        for run in cut(r["text"])[1]:
+            first[run[2]] = min(first.get(run[2], key(r)), key(r))
     out = Counter()
     for r in rows:
         units, runs = cut(r["text"] or "")
         seen, gone = set(), set()
         for run in runs:
-            if run[2] in seen or first[run[2]] < key(r["doc_id"]):
+            if run[2] in seen or first[run[2]] < key(r):
                 gone.update(range(run[0], run[1]))
             seen.add(run[2])
         text = r["text"] if r["text"] is None else "".join(u for k, u in enumerate(units) if k not in gone)
@@ -164,17 +210,68 @@ def plain_repeats(rows, cut):
     return out
 
 
-@pytest.mark.parametrize(("name", "cut"), [("op4_sentence_spans", repeats.sentence_spans), ("op7_line_winnowing", repeats.line_windows)])
-def test_repeats_equal_a_plain_loop(spark, mixed_dir, rows, name, cut):
+@pytest.mark.parametrize(("name", "cut"), [("op4_sentence_spans", plain_spans_of), ("op7_line_winnowing", plain_windows_of)])
+@pytest.mark.parametrize("folder", ["mixed", "sf0.01"])
+def test_repeats_equal_a_plain_loop(spark, mixed_dir, rows, name, cut, folder):
+    if folder != "mixed":
+        mixed_dir = f"/root/testdata/{folder}"
+        rows = spark.read.parquet(f"{mixed_dir}/documents.parquet").select("doc_id", "text").collect()
     found = QUERIES[name](spark, mixed_dir).collect()
     assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in found) == plain_repeats(rows, cut)
 
 
+@pytest.mark.parametrize("count", [1, 2, 3, 5])
+def test_repeats_of_random_lines(spark, count):
+    """Few different lines, so that runs overlap, touch and repeat in every way; windows of any size."""
+    rng = np.random.default_rng(count)
+    kinds = ["a", "b", "c c", "", "  ", "one two three four five six seven eight", "nine words are in this line as it is"]
+    data = [(k, "\n".join(rng.choice(kinds, rng.integers(0, 14)))) for k in range(120)]
+    first, left = {}, {}
+
+    def windows(text):
+        units = re.findall(r"[^\n]*\n|[^\n]+", text)
+        real = [(k, u.strip()) for k, u in enumerate(units) if u.strip()]
+        runs = [(real[k][0], real[k + count - 1][0] + 1, tuple(u for _, u in real[k : k + count])) for k in range(len(real) - count + 1)]
+        return units, set(runs) | {(k, k + 1, (u,)) for k, u in real if len(u.split()) >= 8}
+
+    for d, text in data:
+        units, runs = windows(text)
+        gone, own = set(), set()
+        for a, b, h in sorted(runs):
+            if h in own or h in first:
+                gone.update(range(a, b))
+            own.add(h)
+        first |= dict.fromkeys(own, d)
+        left[d] = "".join(u for k, u in enumerate(units) if k not in gone), len(gone)
+    found = repeats.without_repeated_lines(spark.createDataFrame(data, "doc_id long, text string"), count=count).collect()
+    assert {r["doc_id"]: (r["clean_text"], r["n_removed"]) for r in found} == left
+
+
+def test_fingerprints_cost_less_and_lose_nothing():
+    """Windows that share a line mostly select it together; every window is behind some fingerprint."""
+    rng = np.random.default_rng(2)
+    text = "\n".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(4000))
+    for count in (2, 4, 8):
+        prints = repeats.line_prints(text, count)[1]
+        windows = [r for _, runs in prints for r in runs]
+        assert sorted((r.first, r.end) for r in windows) == [(k, k + count) for k in range(4000 - count + 1)]
+        assert len(prints) < 1.1 * 4000 * 2 / (count + 1)
+        again = repeats.line_prints("another first line\n" + text, count)[1]
+        assert {(p, r.hash) for p, runs in prints for r in runs} <= {(p, r.hash) for p, runs in again for r in runs}
+
+
 def test_units_make_up_the_text(rows):
     for r in rows:
         text = r["text"] or ""
         assert "".join(repeats.sentences(text)) == text
-        assert "".join(repeats.line_windows(text)[0]) == text
+        assert "".join(repeats.line_prints(text)[0]) == text
+
+
+def test_last_sentences_are_covered(spark):
+    body = "Ten words are in this first sentence of the text. Then. There. End."
+    data = [(1, "Some other beginning of it that nobody shares. " + body), (2, body), (3, None), (None, body), (None, body + " Tail.")]
+    left = {(r["doc_id"], r["clean_text"]) for r in repeats.without_repeated_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert left == {(1, data[0][1]), (2, ""), (3, None), (None, ""), (None, "Tail.")}
 
 
 def test_planted_passages_go_from_the_later_document(spark):

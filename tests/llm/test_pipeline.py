@@ -7,10 +7,10 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import sentencepiece
-from test_duplicates import classes_of
+from test_duplicates import classes_of, plain_repeats, plain_windows_of
 
 import corpus_pipeline
-from hypso.llm import pieces, queries, repeats
+from hypso.llm import pieces, queries
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,20 +22,12 @@ def by_sql(docs: pd.DataFrame, name: str) -> pd.DataFrame:
 
 
 def without_repeated_lines(docs: pd.DataFrame) -> pd.DataFrame:
-    first: dict[int, int] = {}
-    for d, text in zip(docs.doc_id, docs.text, strict=True):
-        for run in repeats.line_windows(text)[1]:
-            first[run[2]] = min(first.get(run[2], d), d)
+    rows = [{"doc_id": r.doc_id, "text": r.text} for r in docs.itertuples(index=False)]
+    left = {d: (text, n) for d, text, n in plain_repeats(rows, plain_windows_of)}
     out = []
     for row in docs.itertuples(index=False):
-        units, runs = repeats.line_windows(row.text)
-        seen, gone = set(), set()
-        for run in runs:
-            if run[2] in seen or first[run[2]] < row.doc_id:
-                gone.update(range(run[0], run[1]))
-            seen.add(run[2])
-        text = "".join(u for k, u in enumerate(units) if k not in gone)
-        if text.split() or not gone:
+        text, n = left[row.doc_id]
+        if text.split() or not n:
             out.append((row.doc_id, text, row.lang, row.source, len(text)))
     return pd.DataFrame(out, columns=COLUMNS)
 
