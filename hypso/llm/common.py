@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space as a plain character list, for translate().
 BLANKS = " \t\n\x0b\f\r"
 
-_written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
+Tables = list[tuple[SparkSession, str]]
+_of_process: Tables = []
+#: Where written() notes its tables, the innermost list last.
+_scopes: ContextVar[tuple[Tables, ...]] = ContextVar("scopes", default=(_of_process,))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,30 +31,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else a temporary one (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it isn't set, a temporary one in
+    local mode (tests), else an error, as executors elsewhere couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own[0] if _own else tempfile.mkdtemp(prefix="hypso-shared-")
         _own[:] = [folder]
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, outer: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
     Unlike a checkpoint it doesn't carry on the constraints that the optimizer infers, which in
-    loops grow until planning takes minutes and the driver's memory. Removed by release() or at exit.
+    loops grow until planning takes minutes and the driver's memory. Removed at the end of the scratch() it
+    is made in (outer: of the one around that), or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hypso-{uuid.uuid4().hex}"
+    scopes = _scopes.get()
+    scopes[-2 if outer and len(scopes) > 1 else -1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep: int = 0) -> None:
-    """Remove the tables that written() has made so far, but for the last `keep`."""
-    gone, _written[:] = _written[: len(_written) - keep], _written[len(_written) - keep :]
+@contextmanager
+def noted(tables: Tables) -> Iterator[None]:
+    """Tables that are written here are noted in this list."""
+    token = _scopes.set((*_scopes.get(), tables))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written here are removed at the end."""
+    tables: Tables = []
+    try:
+        with noted(tables):
+            yield
+    finally:
+        remove(tables)
+
+
+def remove(tables: Tables) -> None:
+    """Remove the tables of the list, and empty it."""
+    gone, tables[:] = tables[:], []
     for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
@@ -58,7 +90,12 @@ def release(keep: int = 0) -> None:
             continue
 
 
-atexit.register(release)
+def keep(tables: Tables) -> None:
+    """Leave the tables of the list to the list around it, or to the end of the process."""
+    _scopes.get()[-1].extend(tables)
+
+
+atexit.register(remove, _of_process)
 
 
 def exact(column: str) -> Column:
