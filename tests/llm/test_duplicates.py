@@ -121,6 +121,25 @@ def test_pairs_in_a_crowd_are_found(spark):
     assert {r["_doc"]: r["class_id"] for r in found} == {k: k // 2 * 2 for k in range(2000)}
 
 
+def test_large_clusters_hold_their_pairs(spark):
+    """A cloud of 1500 edited copies of one text, of which many pairs are similar and more are not: nine in
+    ten similar pairs at least are in one class, and no class has texts that no links join."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    base, data = [word() for _ in range(120)], []
+    for k in range(1500):
+        own = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 5)):
+            own[at] = word()
+        data.append((k, " ".join(own)))
+    plain = classes_of(dict(data))
+    found = {r["_doc"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    together = lambda classes: sum(n * (n - 1) // 2 for n in Counter(classes).values())
+    both = Counter((plain[k], found[k]) for k in plain)
+    assert sum(n * (n - 1) // 2 for n in both.values()) >= 0.9 * together(plain.values())
+    assert len({b for _, b in both}) == len(both)
+
+
 def test_order_counts(spark):
     """The same shingles in another order are not similar."""
     words = [f"w{k}" for k in range(300)]
