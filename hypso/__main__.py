@@ -17,9 +17,10 @@ def main(argv: list[str]) -> int:
         print(f"hypso: {e}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("hypso").getOrCreate()
-    spark.sparkContext.setLogLevel(options.log)
-    for r in engine.run(spark, options).collect():
-        print(r["name"])
+    level = options.log.upper()
+    spark.sparkContext.setLogLevel({"WARNING": "WARN", "CRITICAL": "FATAL"}.get(level, level))
+    for name in engine.run(spark, options)[0]:
+        print(name)
     return 0
 
 

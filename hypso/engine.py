@@ -1,102 +1,90 @@
 """From raster files to map files: the whole run as one plan.
 
-files -> samples -> void mask, smoothing, feet -> crop -> chop -> polygon mask -> segments ->
-lines -> degrees -> simplified -> split -> ids -> encoded files
+files -> bands (void mask, smoothing, feet) -> crop -> costs of rows -> tiles -> segments within
+polygons -> lines -> degrees -> simplified -> split -> ids -> encoded files
+
+Bands are kept, as costs and segments both read them; ways are kept, as identifiers, files and
+names do.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sinks
 from .functions import scalars as S
-from .operators import contour, osm, polygon, raster
+from .operators import bands, contour, osm, polygon, raster
 from .options import Options
 from .sources import catalog, rasters
 
 
-def _degrees(c: Column, epsg: Column, back) -> Column:
-    return F.when(epsg == rasters.WEB_MERCATOR, back(c)).when(epsg == rasters.WGS84, c).otherwise(F.raise_error(F.concat(F.lit("no way to reproject EPSG:"), epsg)).cast("double"))
+def _by_epsg(c: Column, epsg: Column, mercator) -> Column:
+    return F.when(epsg == rasters.WEB_MERCATOR, mercator(c)).when(epsg == rasters.WGS84, c).otherwise(F.raise_error(F.concat(F.lit("no way to reproject EPSG:"), epsg)).cast("double"))
 
 
 def lon_of(x: Column, epsg: Column) -> Column:
-    return _degrees(x, epsg, S.unmercator_lon)
+    return _by_epsg(x, epsg, S.unmercator_lon)
 
 
 def lat_of(y: Column, epsg: Column) -> Column:
-    return _degrees(y, epsg, S.unmercator_lat)
+    return _by_epsg(y, epsg, S.unmercator_lat)
 
 
-def numbered(headers: DataFrame) -> DataFrame:
-    """Headers with file_seq, and the box and increments that the raster operators ask for. A row a file."""
+def numbered(headers: DataFrame, area: tuple | None = None) -> DataFrame:
+    """Headers, a row a file, with file_seq, the file's box, and the rows and columns within the area."""
     h = headers.withColumn("file_seq", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-    x1, y1 = F.col("x0") + (F.col("n_cols") - 1) * F.col("dx"), F.col("y0") + (F.col("n_rows") - 1) * F.col("dy")
-    return h.withColumns({"min_lon": lon_of(F.col("x0"), F.col("epsg")), "max_lon": lon_of(x1, F.col("epsg")), "min_lat": lat_of(y1, F.col("epsg")), "max_lat": lat_of(F.col("y0"), F.col("epsg"))})
-
-
-def cropped(samples: DataFrame, headers: DataFrame, area: tuple | None) -> DataFrame:
-    """Samples within the area; left > right crosses the antimeridian."""
+    h = h.withColumns({"min_x": F.col("x0"), "max_x": F.col("x0") + (F.col("n_cols") - 1) * F.col("dx"), "min_y": F.col("y0") + (F.col("n_rows") - 1) * F.col("dy"), "max_y": F.col("y0"), "inc_x": F.col("dx"), "inc_y": -F.col("dy")})
     if area is None:
-        return samples
-    left, bottom, right, top = area
-    at = samples.join(F.broadcast(headers.select("file_seq", "epsg", "x0", "y0", "dx", "dy")), "file_seq")
-    lon, lat = lon_of(F.col("x0") + F.col("j") * F.col("dx"), F.col("epsg")), lat_of(F.col("y0") + F.col("i") * F.col("dy"), F.col("epsg"))
-    near = 1e-9
-    across = lon.between(left - near, right + near) if left <= right else (lon >= left - near) | (lon <= right + near)
-    return at.where(across & lat.between(bottom - near, top + near)).select(*samples.columns)
-
-
-def tiles(samples: DataFrame, step: int, budget: int) -> DataFrame:
-    """tile_seq, file_seq, lo, hi: files chopped to the node budget, in the order of ids."""
-    chopped = raster.chop(raster.row_costs(samples.withColumn("cell", F.col("file_seq"))), step, budget)
+        return h.withColumns({"i0": F.lit(0).cast("long"), "i1": F.col("n_rows") - 1, "j0": F.lit(0).cast("long"), "j1": F.col("n_cols") - 1})
+    left, bottom, right, top = map(F.lit, area)
+    epsg = F.col("epsg")
+    x, y = (lambda v: _by_epsg(v, epsg, S.mercator_x)), (lambda v: _by_epsg(v, epsg, S.mercator_y))
+    return raster.crop_bounds(h, x(left), y(bottom), x(right), y(top)).where("i0 <= i1 AND j0 <= j1")
+
+
+def tiles(bands_: DataFrame, o: Options) -> DataFrame:
+    """tile_seq, file_seq, lo, hi, first, last, estimate: files chopped to the node budget, in the order
+    of ids, and the levels of their samples (last left out), polygons or not."""
+    cut = raster.chop(bands.costs(bands_), o.step, o.max_nodes_per_tile)
+    first, last = contour.level_range(F.col("low").cast("long"), F.col("high").cast("long"), o.step)
     # one row a tile; southern halves first, halves of a half together
-    return chopped.withColumn("tile_seq", (F.row_number().over(Window.orderBy("file_seq", "path")) - 1).cast("long")).select("tile_seq", "file_seq", "lo", "hi", "estimate")
+    seq = (F.row_number().over(Window.orderBy("file_seq", "path")) - 1).cast("long")
+    return cut.select(seq.alias("tile_seq"), "file_seq", "lo", "hi", first.alias("first"), last.alias("last"), "estimate")
 
 
-def masked(samples: DataFrame, headers: DataFrame, rings: DataFrame | None) -> DataFrame:
-    """Samples outside all rings (ring, seq, x, y in degrees) are void."""
-    if rings is None:
-        return samples
+def crossings(rings: DataFrame, headers: DataFrame) -> DataFrame:
+    """file_seq, own and rings: for the raster rows of each band, (i, xs): longitudes at which the edges of a
+    ring (ring, seq, x, y in degrees) cross them."""
     edges = polygon.edges(rings)
-    out = []
-    geographic = headers.where(F.col("epsg") == rasters.WGS84).select("file_seq", F.col("n_rows").alias("n"), "min_lon", "max_lat", F.col("dx").alias("inc"))
-    crossed = polygon.row_crossings(edges, geographic)
-    placed = samples.join(F.broadcast(headers.select("file_seq", "epsg", "x0", "dx", "y0", "dy")), "file_seq")
-    degrees = placed.where(F.col("epsg") == rasters.WGS84).join(crossed, ["file_seq", "i"], "left")
-    out.append(degrees.withColumn("z", F.when(polygon.inside(F.col("rings"), F.col("x0") + F.col("j") * F.col("dx")), F.col("z"))).select(*samples.columns))
-    # Rows of other projections have latitudes of their own, so their edges are found by row in turn.
-    rows = placed.where(F.col("epsg") != rasters.WGS84).select("file_seq", "i", "y0", "dy", "epsg").distinct().withColumn("lat", lat_of(F.col("y0") + F.col("i") * F.col("dy"), F.col("epsg")))
-    cut = rows.withColumn("cell_lat", F.floor("lat")).join(edges.withColumn("cell_lat", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2"))))), "cell_lat").where("(y1 > lat) <> (y2 > lat)")
-    per_ring = cut.withColumn("at", (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).groupBy("file_seq", "i", "ring").agg(F.collect_list("at").alias("xs"))
-    by_row = per_ring.groupBy("file_seq", "i").agg(F.collect_list("xs").alias("rings"))
-    other = placed.where(F.col("epsg") != rasters.WGS84).join(by_row, ["file_seq", "i"], "left")
-    out.append(other.withColumn("z", F.when(polygon.inside(F.col("rings"), lon_of(F.col("x0") + F.col("j") * F.col("dx"), F.col("epsg"))), F.col("z"))).select(*samples.columns))
-    return out[0].unionByName(out[1])
-
-
-def lines(samples: DataFrame, unmasked: DataFrame, headers: DataFrame, tiles_: DataFrame, o: Options) -> DataFrame:
-    """tile_seq, level, line, piece, closed, lons, lats, in degrees. unmasked: samples before polygons."""
-    widths = [r[0] for r in headers.select("n_cols").distinct().collect()]  # a few: one for each resolution
-    dense = samples.withColumn("cell", F.col("file_seq").cast("string"))
-    found = None
-    for n in widths:
-        own = dense.join(F.broadcast(headers.where(F.col("n_cols") == n).select("file_seq")), "file_seq")
-        one = contour.segments(contour.quads(own, n), o.step)
-        found = one if found is None else found.unionByName(one)
+    geographic = headers.where(F.col("epsg") == rasters.WGS84).select("file_seq", F.col("n_rows").alias("n"), F.col("min_x").alias("min_lon"), F.col("max_y").alias("max_lat"), F.col("dx").alias("inc"))
+    found = polygon.row_crossings(edges, geographic)
+    # Rows of other projections have latitudes of their own.
+    other = headers.where(F.col("epsg") != rasters.WGS84).select("file_seq", "y0", "dy", "epsg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)).alias("i"))
+    found = found.unionByName(polygon.line_crossings(edges, other.select("file_seq", "i", lat_of(F.col("y0") + F.col("i") * F.col("dy"), F.col("epsg")).alias("lat"))))
+    sent = found.withColumn("own", F.explode(bands.owners(F.col("i"))))
+    return sent.groupBy("file_seq", "own").agg(F.collect_list(F.struct("i", "xs")).alias("rings"))
+
+
+def lines(bands_: DataFrame, headers: DataFrame, tiles_: DataFrame, o: Options, rings: DataFrame | None = None) -> DataFrame:
+    """tile_seq, level, line, piece, closed, lons, lats, in degrees."""
+    own = tiles_.groupBy("file_seq").agg(F.collect_list(F.struct("tile_seq", "lo", "hi", "first", "last")).alias("tiles"))  # no more than a raster's rows
+    placed = bands_.join(own, "file_seq")
+    if rings is not None:
+        place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_cols") - 1), lambda j: lon_of(F.col("x0") + j * F.col("dx"), F.col("epsg")))
+        none = F.array().cast("array<struct<i: bigint, xs: array<double>>>")
+        placed = placed.join(crossings(rings, headers), ["file_seq", "own"], "left").withColumns({"lons": place, "rings": F.coalesce("rings", none)})
+    found = bands.segments(placed, o.step)
     if o.no_zero:
         found = found.where("level <> 0")
-    rows = tiles_.select("tile_seq", F.col("file_seq").cast("string").alias("cell"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i"))
-    # A tile's levels come from its whole metres (feet), polygons or not.
-    whole = lambda f: contour.next_multiple(f("z").cast("long"), o.step)
-    inside = tiles_.select("tile_seq", F.col("file_seq").cast("string").alias("cell"), F.explode(F.sequence("lo", "hi")).alias("i"))
-    spans = unmasked.withColumn("cell", F.col("file_seq").cast("string")).join(inside, ["cell", "i"]).groupBy("tile_seq").agg(whole(F.min).alias("first"), whole(F.max).alias("last"))
-    ranged = found.join(rows, ["cell", "i"]).join(spans, "tile_seq").where("level >= first AND level < last")
-    placed = ranged.select(F.concat_ws("/", "cell", "tile_seq").alias("cell"), "level", "k1", "x1", "y1", "k2", "x2", "y2")
-    stitched = contour.lines(placed).withColumns({"file_seq": F.split("cell", "/")[0].cast("long"), "tile_seq": F.split("cell", "/")[1].cast("long")})
-    at = stitched.join(F.broadcast(headers.select("file_seq", "epsg", "x0", "dx", "y0", "dy")), "file_seq")
+    stitched = contour.lines(found.select(F.concat_ws("/", "file_seq", "tile_seq").alias("cell"), "level", "k1", "x1", "y1", "k2", "x2", "y2"))
+    stitched = stitched.withColumns({"file_seq": F.split("cell", "/")[0].cast("long"), "tile_seq": F.split("cell", "/")[1].cast("long")})
+    at = stitched.join(headers.select("file_seq", "epsg", "x0", "dx", "y0", "dy"), "file_seq")
     at = at.withColumns({"xs": F.transform("xs", lambda x: lon_of(F.col("x0") + x * F.col("dx"), F.col("epsg"))), "ys": F.transform("ys", lambda y: lat_of(F.col("y0") + y * F.col("dy"), F.col("epsg")))})
     simple = contour.rdp(at.select("cell", "tile_seq", "level", "line", "closed", "xs", "ys"), o.epsilon)
     return contour.split(simple, o.max_nodes_per_way).select("tile_seq", "level", "line", "piece", "closed", F.col("xs").alias("lons"), F.col("ys").alias("lats"))
@@ -104,27 +92,37 @@ def lines(samples: DataFrame, unmasked: DataFrame, headers: DataFrame, tiles_: D
 
 def boxes(tiles_: DataFrame, headers: DataFrame) -> DataFrame:
     """The bounding box of each tile in degrees."""
-    at = tiles_.join(headers.select("file_seq", "path", "epsg", "y0", "dy", "min_lon", "max_lon"), "file_seq")
-    return at.select("tile_seq", "path", "min_lon", lat_of(F.col("y0") + F.col("hi") * F.col("dy"), F.col("epsg")).alias("min_lat"), "max_lon", lat_of(F.col("y0") + F.col("lo") * F.col("dy"), F.col("epsg")).alias("max_lat"))
+    at = tiles_.join(headers.select("file_seq", "path", "epsg", "x0", "dx", "y0", "dy", "j0", "j1"), "file_seq")
+    lon, lat = (lambda j: lon_of(F.col("x0") + F.col(j) * F.col("dx"), F.col("epsg"))), (lambda i: lat_of(F.col("y0") + F.col(i) * F.col("dy"), F.col("epsg")))
+    return at.select("tile_seq", "path", lon("j0").alias("min_lon"), lat("hi").alias("min_lat"), lon("j1").alias("max_lon"), lat("lo").alias("max_lat"))
 
 
 def names(boxes_: DataFrame, o: Options) -> DataFrame:
     """tile_seq and name of the output file."""
-    folder = F.lower(F.element_at(F.split("path", "/"), -2))
-    tag = F.substring(folder, 1, 5)
-    asked = F.array(*map(F.lit, o.source or [])).cast("array<string>")
-    known = F.array_contains(asked, tag)
+    used, asked = F.substring(F.lower(F.element_at(F.split("path", "/"), -2)), 1, 5), o.source or []
+    if o.files:
+        used, asked = F.lit("local-source"), ["local-source"]
     prefix = F.lit(f"{o.output_prefix}_" if o.output_prefix else "")
-    box = F.concat(prefix, F.lit("lon"), S.fixed(F.col("min_lon"), 2), F.lit("_"), S.fixed(F.col("max_lon"), 2), F.lit("lat"), S.fixed(F.col("min_lat"), 2), F.lit("_"), S.fixed(F.col("max_lat"), 2))
-    middle = F.when(known & F.lit(not o.files), F.concat(F.lit("_"), tag)).otherwise("_local-source" if o.files else "")
-    return boxes_.select("tile_seq", F.concat(box, middle, F.lit(sinks.SUFFIX[o.kind])).alias("name"))
+    box = [F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]
+    return boxes_.select("tile_seq", catalog.output_name(prefix, *box, F.array(used), F.array(*map(F.lit, asked)).cast("array<string>"), sinks.SUFFIX[o.kind]).alias("name"))
+
+
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and content of raster files; of zip archives, of the .hgt files in them."""
+    load = lambda some: spark.read.format("binaryFile").load(some).select("path", "content")
+    zips = [p for p in paths if p.lower().endswith(".zip")]
+    rest = [p for p in paths if not p.lower().endswith(".zip")]
+    if not zips:
+        return load(rest)
+    found = rasters.zip_members(load(zips))
+    return found.union(load(rest)) if rest else found
 
 
 def inputs(spark: SparkSession, o: Options, rings: DataFrame | None = None) -> DataFrame:
-    """path and content of the raster files: those named, or for each cell of the area the one of
-    the first source that has it."""
+    """path and content of the raster files: those named, or for each cell of the area (and, where there
+    are rings, that they touch) the one of the first source that has it."""
     if o.files:
-        return spark.read.format("binaryFile").load(list(o.files)).select("path", "content")
+        return read(spark, list(o.files))
     left, bottom, right, top = o.area
     spans = [(left, right)] if left < right else [(left, 180.0), (-180.0, right)]
     wanted = None
@@ -133,6 +131,10 @@ def inputs(spark: SparkSession, o: Options, rings: DataFrame | None = None) -> D
         cells = box.select(F.explode(F.sequence("min_lon", F.col("max_lon") - 1)).alias("lon"), "min_lat", "max_lat").select("lon", F.explode(F.sequence("min_lat", F.col("max_lat") - 1)).alias("lat"))
         own = cells.select(S.cell_name(F.col("lat"), F.col("lon")).alias("cell"))
         wanted = own if wanted is None else wanted.union(own)
+    if rings is not None:
+        all_boxes = rings.groupBy("ring").agg(F.floor(F.min("x")).alias("left"), F.floor(F.min("y")).alias("bottom"), F.ceil(F.max("x")).alias("right"), F.ceil(F.max("y")).alias("top"))
+        touched = polygon.files_needed(all_boxes, rings.select("ring", "seq", "x", "y")).select("cell").distinct()
+        wanted = wanted.join(touched, "cell", "left_semi")
     held = None
     for option in o.source:
         own = catalog.source(option, o.hgtdir).files(spark, int(option[4:])).select("cell", "path", F.lit(option).alias("nick"))
@@ -141,52 +143,82 @@ def inputs(spark: SparkSession, o: Options, rings: DataFrame | None = None) -> D
     paths = [r["path"] for r in held.join(chosen, ["cell", "nick"]).select("path").distinct().collect()]  # one a cell of the area
     if not paths:
         raise FileNotFoundError(f"no source of {', '.join(o.source)} has a file for the area in {o.hgtdir}")
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
-
-
-def ways(spark: SparkSession, o: Options, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ways with ids, and boxes of their tiles."""
-    rings = None
-    if o.polygon:
-        text = spark.read.text(o.polygon, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("no", "line")).select(F.lit(0).alias("file"), F.col("no").cast("long").alias("no"), "line")
-        rings = rasters.polygons(text)
-        if o.area is None:
-            o.area = tuple(map(float, rasters.extent(rings).first()["area"].split(":")))
+    return read(spark, paths)
+
+
+@contextmanager
+def kept(*frames: DataFrame) -> Iterator[None]:
+    """The frames stay in memory, else on disk, until the end; a lost executor's part is made again."""
+    try:
+        for f in frames:
+            f.persist(StorageLevel.MEMORY_AND_DISK)
+        yield
+    finally:
+        for f in frames:
+            f.unpersist()
+
+
+def polygons(spark: SparkSession, o: Options) -> DataFrame | None:
+    """The rings of the polygon file, whose extent is the area if there is none."""
+    if not o.polygon:
+        return None
+    text = spark.read.text(o.polygon, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("no", "line")).select(F.lit(0).alias("file"), F.col("no").cast("long").alias("no"), "line")
+    rings = rasters.polygons(text)
+    if o.area is None:
+        o.area = tuple(map(float, rasters.extent(rings).first()["area"].split(":")))
+    return rings
+
+
+@contextmanager
+def made(spark: SparkSession, o: Options, files: DataFrame | None = None) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Ways with ids, and boxes of their tiles; both are kept while they are used."""
+    rings = polygons(spark, o)
     files = inputs(spark, o, rings) if files is None else files
-    headers = numbered(rasters.headers(files, o.corrx, o.corry, o.smooth)).cache()
-    samples = rasters.samples(files, o.void_range_max, o.smooth, o.feet).join(F.broadcast(headers.select("path", "file_seq")), "path").select("file_seq", "i", "j", "z")
-    inside = cropped(samples, headers, o.area if not o.files or o.area else None)
-    tiles_ = tiles(inside, o.step, o.max_nodes_per_tile).cache()
-    # Squares need the dense grid: what the crop leaves out is void, not missing.
-    if o.area is not None:
-        samples = samples.withColumn("_z", F.col("z")).drop("z").join(inside, ["file_seq", "i", "j"], "left").select("file_seq", "i", "j", "z")
-    pieces = lines(masked(samples, headers, rings), samples, headers, tiles_, o)
-    out = boxes(tiles_, headers)
-    if not o.max_nodes_per_tile:  # one output for all; the order of ids stays
-        pieces = pieces.withColumn("line", F.col("tile_seq") * (1 << 32) + F.col("line")).withColumn("tile_seq", F.lit(0).cast("long"))
-        out = out.agg(F.lit(0).cast("long").alias("tile_seq"), F.min("path").alias("path"), *[f(c).alias(c) for f, c in ((F.min, "min_lon"), (F.min, "min_lat"), (F.max, "max_lon"), (F.max, "max_lat"))])
-    return osm.ways(pieces, o.start_node_id, o.start_way_id), out
-
-
-def run(spark: SparkSession, o: Options, files: DataFrame | None = None) -> DataFrame:
-    """Write the map files; gives their names. With plot, the samples, too."""
-    found, tiles_ = ways(spark, o, files)
-    now = int(time.time())
-    stamp = time.strftime(' timestamp="%Y-%m-%dT%H:%M:%SZ"', time.gmtime(now)) if o.write_timestamp else ""
-    content = sinks.files(found, tiles_, o.kind, *o.line_cat, gzip_level=o.gzip or 9, osm_version=o.osm_version, stamp=stamp, time=now, with_time=o.write_timestamp)
-    rows = content.join(names(tiles_, o), "tile_seq").select("name", "content")
-    sinks.register(spark)
-    if not o.download_only:
-        rows.write.format("mapfiles").mode("append").save(o.output)
+    raw = rasters.bands(files, o.void_range_max, o.smooth, o.feet, o.corrx, o.corry)
+    with kept(raw):
+        headers = numbered(raw.where("own = 0").drop("own", "top", "z"), o.area)
+        with kept(headers):
+            inside = raw.select("path", "own", "top", "z").join(headers.select("path", "file_seq", "n_cols", "i0", "i1", "j0", "j1", "x0", "dx", "epsg"), "path")
+            inside = inside.where("top <= i1 AND own + %d > i0" % bands.BAND).withColumn("cell", F.col("file_seq").cast("string"))
+            tiles_ = tiles(inside, o)
+            with kept(tiles_):
+                pieces = lines(inside, headers, tiles_, o, rings)
+                out = boxes(tiles_, headers)
+                if not o.max_nodes_per_tile:  # one output for all; the order of ids stays
+                    pieces = pieces.withColumn("line", F.col("tile_seq") * (1 << 32) + F.col("line")).withColumn("tile_seq", F.lit(0).cast("long"))
+                    out = out.agg(F.lit(0).cast("long").alias("tile_seq"), F.min("path").alias("path"), *[f(c).alias(c) for f, c in ((F.min, "min_lon"), (F.min, "min_lat"), (F.max, "max_lon"), (F.max, "max_lat"))])
+                ways_ = osm.ways(pieces, o.start_node_id, o.start_way_id)
+                with kept(ways_, out):
+                    yield ways_, out
+
+
+def run(spark: SparkSession, o: Options, files: DataFrame | None = None) -> tuple[list[str], int, int]:
+    """Write the map files; gives their names in order, and the node and way ids that come next. With plot,
+    the samples, too."""
+    if o.download_only:
+        inputs(spark, o, polygons(spark, o)) if files is None else files
+        return [], o.start_node_id, o.start_way_id
     if o.plot:
         plot(spark, o, files)
-    return names(tiles_.join(found.select("tile_seq").distinct(), "tile_seq", "left_semi"), o)
+    now = int(time.time())
+    stamp = time.strftime(' timestamp="%Y-%m-%dT%H:%M:%SZ"', time.gmtime(now)) if o.write_timestamp else ""
+    with made(spark, o, files) as (found, tiles_):
+        content = sinks.files(found, tiles_, o.kind, *o.line_cat, gzip_level=o.gzip or 9, osm_version=o.osm_version, stamp=stamp, time=now, with_time=o.write_timestamp)
+        sinks.register(spark)
+        content.join(names(tiles_, o), "tile_seq").select("name", "content").write.format("mapfiles").mode("append").save(sinks.uri(o.output))
+        ends = found.agg(F.max(F.col("first_node") + F.col("n_nodes")).alias("node"), (F.max("way_id") + 1).alias("way")).first()
+        written = names(tiles_.join(found.select("tile_seq").distinct(), "tile_seq", "left_semi"), o)
+        said = [r["name"] for r in written.orderBy("tile_seq").collect()]  # a name a file
+    return said, ends["node"] or o.start_node_id, ends["way"] or o.start_way_id
 
 
 def plot(spark: SparkSession, o: Options, files: DataFrame | None = None) -> None:
     """Samples as text: longitude, latitude, whole height."""
-    files = inputs(spark, o) if files is None else files
-    headers = numbered(rasters.headers(files, o.corrx, o.corry, o.smooth))
-    at = rasters.samples(files, o.void_range_max, o.smooth, o.feet).where("z IS NOT NULL").join(F.broadcast(headers), "path")
+    files = inputs(spark, o, polygons(spark, o)) if files is None else files
+    raw = rasters.bands(files, o.void_range_max, o.smooth, o.feet, o.corrx, o.corry)
+    headers = numbered(rasters.headers(files, o.corrx, o.corry, o.smooth), o.area).select("path", "file_seq", "i0", "i1", "j0", "j1", "x0", "dx", "y0", "dy", "epsg")
+    own = raw.select("path", "own", "top", "n_cols", "z").join(headers, "path").withColumn("cell", F.col("path"))
+    at = bands.unpacked(own).where("z IS NOT NULL").join(headers, "file_seq")
     lon, lat = lon_of(F.col("x0") + F.col("j") * F.col("dx"), F.col("epsg")), lat_of(F.col("y0") + F.col("i") * F.col("dy"), F.col("epsg"))
-    at.select(F.concat_ws(" ", S.fixed(lon, 7), S.fixed(lat, 7), F.col("z").cast("long").cast("string")).alias("value")).write.mode("overwrite").text(f"{o.output}/{o.plot}.xyz")
+    text = F.concat_ws(" ", S.fixed(lon, 7), S.fixed(lat, 7), F.col("z").cast("long").cast("string")).alias("value")
+    at.select(text).write.mode("overwrite").text(f"{sinks.uri(o.output)}/{o.plot}.xyz")

@@ -1,4 +1,4 @@
-"""Contour operators: levels and marching squares as plans; stitching and simplifying in Arrow batches."""
+"""Contour operators: levels; segments (see bands) stitched to lines, simplified and split."""
 
 from __future__ import annotations
 
@@ -6,93 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import next_multiple
 
-#: Raster rows in a band.
-BAND = 16
 #: Points between a chord's ends from which on distances are taken all at once.
 WIDE = 24
 
 
+def level_range(low: Column, high: Column, step: int) -> tuple[Column, Column]:
+    """The first level of whole heights from low to high, and the one that is left out after the last."""
+    return next_multiple(low, step), next_multiple(high, step)
+
+
 def levels(stats: DataFrame, step: int, low: int | None = None, high: int | None = None, zero: bool = True) -> DataFrame:
     """The levels of each tile (cell, min_ele, max_ele): multiples of step from the least on, the
     greatest rounded up left out. A bound of 0 counts as none."""
-    first = next_multiple(F.lit(low).cast("long") if low else F.col("min_ele"), step)
-    last = next_multiple(F.lit(high).cast("long") if high else F.col("max_ele"), step)
+    first, last = level_range(F.lit(low).cast("long") if low else F.col("min_ele"), F.lit(high).cast("long") if high else F.col("max_ele"), step)
     out = stats.select("cell", F.explode(F.when(first < last, F.sequence(first, last - step, F.lit(step).cast("long")))).alias("level"))
     return out if zero else out.where("level <> 0")
 
 
-def quads(dem: DataFrame, n: int) -> DataFrame:
-    """Each square of four neighbours: nw, ne, sw, se. Needs the dense grid of n columns.
-
-    Windows run over bands of rows, border rows being sent to both bands: one shuffle, and
-    tasks as small as a band whatever the raster's size.
-    """
-    band = F.expr(f"i div {BAND}")
-    sent = dem.withColumn("band", F.explode(F.when((F.col("i") % BAND == 0) & (F.col("i") > 0), F.array(band, band - 1)).otherwise(F.array(band))))
-    w = Window.partitionBy("cell", "band").orderBy("i", "j")
-    wide = sent.select("cell", "file_seq", "i", "j", "band", F.col("z").alias("nw"), F.lead("z", 1).over(w).alias("ne"), F.lead("z", n).over(w).alias("sw"), F.lead("z", n + 1).over(w).alias("se"))
-    return wide.where(f"j < {n - 1} AND i < {n - 1} AND i div {BAND} = band").drop("band")
-
-
-#: Portable SQL from quads (cell, i, j, nw, ne, sw, se) and a step to crossed squares and to segments.
-#: An end lies on edge N, W, S, E or D (the diagonal of a triangle) of its square.
-CROSSED = """SELECT cell, i, j, level, nw, ne, sw, se,
-  coalesce((nw > level) <> (ne > level), false) AS cn, coalesce((nw > level) <> (sw > level), false) AS cw,
-  coalesce((sw > level) <> (se > level), false) AS cs, coalesce((ne > level) <> (se > level), false) AS ce,
-  CASE WHEN nw IS NULL OR se IS NULL THEN coalesce((sw > level) <> (ne > level), false)
-    WHEN ne IS NULL OR sw IS NULL THEN coalesce((nw > level) <> (se > level), false) ELSE false END AS cd,
-  (nw > level) <> (ne > level) AND (nw > level) <> (sw > level) AND (sw > level) <> (se > level) AS saddle,
-  (nw + ne + sw + se > 4 * level) = (nw > level) AS joined FROM leveled"""
-CHOSEN = """SELECT *,
-  CASE WHEN saddle AND seg = 1 THEN (CASE WHEN joined THEN 'W' ELSE 'S' END) WHEN cn THEN 'N' WHEN cw THEN 'W' WHEN cs THEN 'S' ELSE 'E' END AS e1,
-  CASE WHEN saddle AND seg = 1 THEN (CASE WHEN joined THEN 'S' ELSE 'E' END) WHEN saddle THEN (CASE WHEN joined THEN 'E' ELSE 'W' END)
-    WHEN cd THEN 'D' WHEN ce THEN 'E' WHEN cs THEN 'S' ELSE 'W' END AS e2 FROM doubled"""
-
-
-def end_sql(e: str, axis: str) -> str:
-    """x (columns) or y (rows) of the end on edge e: interpolated west to east or north to south."""
-    t = lambda a, b: f"(CAST(level - {a} AS DOUBLE) / ({b} - {a}))"
-    if axis == "x":
-        return f"""CASE {e} WHEN 'N' THEN j + {t('nw', 'ne')} WHEN 'S' THEN j + {t('sw', 'se')} WHEN 'W' THEN CAST(j AS DOUBLE) WHEN 'E' THEN CAST(j + 1 AS DOUBLE)
-    ELSE CASE WHEN nw IS NULL OR se IS NULL THEN j + {t('sw', 'ne')} ELSE j + {t('nw', 'se')} END END"""
-    return f"""CASE {e} WHEN 'N' THEN CAST(i AS DOUBLE) WHEN 'S' THEN CAST(i + 1 AS DOUBLE) WHEN 'W' THEN i + {t('nw', 'sw')} WHEN 'E' THEN i + {t('ne', 'se')}
-    ELSE CASE WHEN nw IS NULL OR se IS NULL THEN i + 1 - {t('sw', 'ne')} ELSE i + {t('nw', 'se')} END END"""
-
-
-def key_sql(e: str) -> str:
-    """Name of the edge, the same from both squares that have it."""
-    return f"""CASE {e} WHEN 'N' THEN concat('H', i, '_', j) WHEN 'S' THEN concat('H', i + 1, '_', j) WHEN 'W' THEN concat('V', i, '_', j) WHEN 'E' THEN concat('V', i, '_', j + 1) ELSE concat('D', i, '_', j) END"""
-
-
-SEGMENTS = f"""SELECT cell, level, i, j, seg, {key_sql('e1')} AS k1, {end_sql('e1', 'x')} AS x1, {end_sql('e1', 'y')} AS y1, {key_sql('e2')} AS k2, {end_sql('e2', 'x')} AS x2, {end_sql('e2', 'y')} AS y2 FROM chosen"""
-
-
-def segments(squares: DataFrame, step: int) -> DataFrame:
-    """Contour segments: cell, level, i, j, seg and both ends with edge keys. A square with one
-    void corner counts as a triangle, with more it has none. No join: a square's levels are a
-    sequence between its corners."""
-    corners = [F.col(c) for c in ("nw", "ne", "sw", "se")]
-    whole = lambda x: F.ceil(x).cast("long")
-    low, high = next_multiple(whole(F.least(*corners)), step), next_multiple(whole(F.greatest(*corners)), step) - step
-    known = sum((c.isNotNull().cast("int") for c in corners[1:]), corners[0].isNotNull().cast("int"))
-    leveled = squares.where(known >= 3).withColumn("level", F.explode(F.when(low <= high, F.sequence(low, high, F.lit(step).cast("long")))))
-    spark = squares.sparkSession
-    crossed = spark.sql(CROSSED.replace("FROM leveled", "FROM {leveled}"), leveled=leveled).withColumn("saddle", F.coalesce("saddle", F.lit(False)))
-    doubled = crossed.withColumn("seg", F.explode(F.when(F.col("saddle"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    chosen = spark.sql(CHOSEN.replace("FROM doubled", "FROM {doubled}"), doubled=doubled)
-    return spark.sql(SEGMENTS.replace("FROM chosen", "FROM {chosen}"), chosen=chosen)
-
-
 def stitched(pdf: pd.DataFrame) -> list[tuple[bool, list[tuple[float, float]]]]:
     """Lines (closed or not, points) from the segments of one tile and level. Ends first, from the
     least key; what is left are rings, which repeat their first point at the end."""
-    ends: dict[str, list[int]] = {}
-    place: dict[str, tuple[float, float]] = {}
+    ends: dict[int, list[int]] = {}
+    place: dict[int, tuple[float, float]] = {}
     rows = list(pdf[["k1", "x1", "y1", "k2", "x2", "y2"]].itertuples(index=False, name=None))
     for s, (k1, x1, y1, k2, x2, y2) in enumerate(rows):
         ends.setdefault(k1, []).append(s)

@@ -20,9 +20,9 @@ def edges(rings: DataFrame) -> DataFrame:
 
 
 def row_crossings(edges_: DataFrame, header: DataFrame) -> DataFrame:
-    """For each raster row the sorted longitudes at which each ring's edges cross it:
-    file_seq, i, rings array<array<double>>. An edge goes to the rows between its ends only, so
-    the work is in proportion to crossings, and samples need no join with edges at all."""
+    """For each raster row and ring the longitudes at which the ring's edges cross the row:
+    file_seq, i, xs. An edge goes to the rows between its ends only, so the work is in proportion to
+    crossings, and samples need no join with edges at all."""
     top, bottom = F.greatest("y1", "y2"), F.least("y1", "y2")
     # Edges and files meet in whole degrees of latitude; edges to the west of a file are on no ray from it.
     lowest = F.col("max_lat") - (F.col("n") - 1) * F.col("inc")
@@ -31,9 +31,18 @@ def row_crossings(edges_: DataFrame, header: DataFrame) -> DataFrame:
     first = F.greatest(F.floor((F.col("max_lat") - top) / F.col("inc")) - 1, F.lit(0))
     last = F.least(F.ceil((F.col("max_lat") - bottom) / F.col("inc")) + 1, (F.col("n") - 1).cast("long"))
     rows = by_row.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("lat", F.col("max_lat") - F.col("i") * F.col("inc")).where(F.floor("lat") == F.col("band"))
-    rows = rows.where("(y1 > lat) <> (y2 > lat)").withColumn("at", (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    per_ring = rows.groupBy("file_seq", "i", "ring").agg(F.collect_list("at").alias("xs"))
-    return per_ring.groupBy("file_seq", "i").agg(F.collect_list("xs").alias("rings"))
+    return _crossed(rows)
+
+
+def line_crossings(edges_: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same for rows (file_seq, i, lat) at any latitudes."""
+    spans = edges_.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
+    return _crossed(rows.withColumn("band", F.floor("lat")).join(spans, "band"))
+
+
+def _crossed(rows: DataFrame) -> DataFrame:
+    at = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return rows.where("(y1 > lat) <> (y2 > lat)").groupBy("file_seq", "i", "ring").agg(F.collect_list(at).alias("xs")).select("file_seq", "i", "xs")
 
 
 def inside(rings: Column, lon: Column) -> Column:
@@ -43,8 +52,8 @@ def inside(rings: Column, lon: Column) -> Column:
 def polygon_mask(dem: DataFrame, header: DataFrame, rings: DataFrame) -> DataFrame:
     """dem with `outside`: true where no ring has the sample. The raster is joined with its rows'
     crossings by an equi-join on the row; it isn't multiplied by edges."""
-    crossed = row_crossings(edges(rings), header)
-    placed = dem.join(F.broadcast(header.select("file_seq", "min_lon", "inc")), "file_seq").join(crossed, ["file_seq", "i"], "left")
+    crossed = row_crossings(edges(rings), header).groupBy("file_seq", "i").agg(F.collect_list("xs").alias("rings"))
+    placed = dem.join(header.select("file_seq", "min_lon", "inc"), "file_seq").join(crossed, ["file_seq", "i"], "left")
     return placed.withColumn("outside", ~inside(F.col("rings"), F.col("min_lon") + F.col("j") * F.col("inc"))).select(*dem.columns, "outside")
 
 
@@ -88,23 +97,73 @@ def files_needed(boxes: DataFrame, rings: DataFrame) -> DataFrame:
     return out.select("ring", cell_name(F.col("lat"), F.col("lon")).alias("cell"), "check")
 
 
-def clip_ring(xs: list[float], ys: list[float], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """A ring cut to a rectangle, edge by edge; empty if nothing with an area is left."""
-    points = list(zip(xs, ys, strict=True))
+Point = tuple[float, float]
+
+
+def _half(points: list[Point], axis: int, bound: float, sign: int) -> list[list[Point]]:
+    """The parts of a ring on one side of a line. Where the ring leaves that side it comes back at the
+    neighbouring cut, as along the line the ring's inside and outside take turns."""
+    inside = [sign * (p[axis] - bound) >= 0 for p in points]
+    if all(inside):
+        return [points]
+    if not any(inside):
+        return []
+
+    def cut(p: Point, q: Point) -> Point:
+        t = (bound - p[axis]) / (q[axis] - p[axis])
+        out = [p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])]
+        out[axis] = bound
+        return out[0], out[1]
+
+    first = next(k for k in range(len(points)) if not inside[k - 1] and inside[k])
+    chains: list[list[Point]] = []
+    for step in range(len(points)):
+        k = (first + step) % len(points)
+        if inside[k] and not inside[k - 1]:
+            chains.append([cut(points[k - 1], points[k])])
+        if inside[k]:
+            chains[-1].append(points[k])
+        elif inside[k - 1]:
+            chains[-1].append(cut(points[k - 1], points[k]))
+    if inside[(first - 1) % len(points)]:  # the last chain is still open
+        chains[-1].append(cut(points[first - 2], points[first - 1]))
+    # Cuts in the order of the line: each chain's end goes on with the start beside it.
+    cuts = sorted([(c[0][1 - axis], True, n) for n, c in enumerate(chains)] + [(c[-1][1 - axis], False, n) for n, c in enumerate(chains)])
+    after: dict[int, int] = {}
+    while cuts:
+        _, entry, n = cuts.pop(0)
+        other = next(k for k, c in enumerate(cuts) if c[1] != entry)
+        m = cuts.pop(other)[2]
+        after[m if entry else n] = n if entry else m
+    out, left = [], set(after)
+    while left:
+        n = start = min(left)
+        ring: list[Point] = []
+        while True:
+            ring += chains[n]
+            left.discard(n)
+            n = after[n]
+            if n == start:
+                break
+        out.append(ring)
+    return out
+
+
+def area_of(ring: list[Point]) -> float:
+    return sum(ring[k - 1][0] * ring[k][1] - ring[k][0] * ring[k - 1][1] for k in range(len(ring))) / 2
+
+
+def clip_ring(xs: list[float], ys: list[float], box: tuple[float, float, float, float]) -> list[list[Point]]:
+    """The parts of a ring within a rectangle (left, bottom, right, top), each closed by its first
+    point; parts without an area are left out. A ring that leaves the rectangle and comes back
+    gives several."""
+    points: list[Point] = []
+    for p in zip(xs, ys, strict=True):
+        if not points or p != points[-1]:
+            points.append(p)
     if len(points) > 1 and points[0] == points[-1]:
         points = points[:-1]
+    rings = [points] if points else []
     for axis, bound, sign in ((0, box[0], 1), (1, box[1], 1), (0, box[2], -1), (1, box[3], -1)):
-        out: list[tuple[float, float]] = []
-        for k, p in enumerate(points):
-            q = points[k - 1]
-            p_in, q_in = sign * (p[axis] - bound) >= 0, sign * (q[axis] - bound) >= 0
-            if p_in != q_in:
-                t = (bound - q[axis]) / (p[axis] - q[axis])
-                cut = [q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])]
-                cut[axis] = bound
-                out.append((cut[0], cut[1]))
-            if p_in:
-                out.append(p)
-        points = out
-    area = sum(points[k - 1][0] * points[k][1] - points[k][0] * points[k - 1][1] for k in range(len(points)))
-    return [*points, points[0]] if len(points) > 2 and area else []
+        rings = [part for ring in rings for part in _half(ring, axis, bound, sign)]
+    return [[*ring, ring[0]] for ring in rings if len(ring) > 2 and abs(area_of(ring)) > 1e-18]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FOOT
@@ -18,16 +19,32 @@ def in_feet(dem: DataFrame) -> DataFrame:
     return dem.withColumn("z", F.col("z") * FOOT)
 
 
+def crop_bounds(header: DataFrame, left: Column, bottom: Column, right: Column, top: Column) -> DataFrame:
+    """header with i0, i1, j0, j1: the first and last rows and columns of an area, in the file's own
+    projection. All sides go outward to the next sample, but not beyond the raster; left > right
+    crosses the antimeridian. An area apart from the raster leaves i1 < i0 or j1 < j0.
+
+    header: n_rows, n_cols, min_x, min_y, max_x, max_y, inc_x, inc_y (positive).
+    """
+    c = F.col
+    east = (c("min_x") < 0) | (c("min_x") < right)  # of an area across: the part after the antimeridian
+    left, right = F.when((left > right) & east, c("min_x")).otherwise(left), F.when((left > right) & ~east, c("max_x")).otherwise(right)
+    inward = lambda d, inc: F.floor(d / inc)
+    return header.withColumns(
+        {
+            "j0": inward(F.greatest(left, "min_x") - c("min_x"), c("inc_x")),
+            "j1": c("n_cols") - 1 - inward(c("max_x") - F.least(right, "max_x"), c("inc_x")),
+            "i0": inward(c("max_y") - F.least(top, "max_y"), c("inc_y")),
+            "i1": c("n_rows") - 1 - inward(F.greatest(bottom, "min_y") - c("min_y"), c("inc_y")),
+        }
+    )
+
+
 def area_crop(dem: DataFrame, header: DataFrame, left: float, bottom: float, right: float, top: float) -> DataFrame:
     """The samples of the area, by index bounds from the header: filters on i and j that a scan
-    of stored rasters can push down, and a broadcast of one row for each file."""
-    at = header.select(
-        "file_seq",
-        F.ceil(F.round((F.greatest(F.lit(left), "min_lon") - F.col("min_lon")) / F.col("inc"), 9)).alias("j0"),
-        F.floor(F.round((F.least(F.lit(right), "max_lon") - F.col("min_lon")) / F.col("inc"), 9)).alias("j1"),
-        F.ceil(F.round((F.col("max_lat") - F.least(F.lit(top), "max_lat")) / F.col("inc"), 9)).alias("i0"),
-        F.floor(F.round((F.col("max_lat") - F.greatest(F.lit(bottom), "min_lat")) / F.col("inc"), 9)).alias("i1"),
-    )
+    of stored rasters can push down."""
+    square = header.select("file_seq", F.col("n").alias("n_rows"), F.col("n").alias("n_cols"), *[F.col(f"{m}_{d}").alias(f"{m}_{x}") for m in ("min", "max") for d, x in (("lon", "x"), ("lat", "y"))], F.col("inc").alias("inc_x"), F.col("inc").alias("inc_y"))
+    at = crop_bounds(square, *map(F.lit, (left, bottom, right, top))).select("file_seq", "i0", "i1", "j0", "j1")
     return dem.join(at, "file_seq").where("i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1").select(*dem.columns)
 
 
@@ -38,47 +55,46 @@ def tile_stats(dem: DataFrame) -> DataFrame:
     )
 
 
-def row_costs(dem: DataFrame) -> DataFrame:
-    """For each row of a tile: samples, and absolute steps along it and to the row above.
-
-    Windows run along single rows and columns, so no task needs a whole tile. A step from or
-    to a void doesn't count.
-    """
-    along = Window.partitionBy("cell", "i").orderBy("j")
-    down = Window.partitionBy("cell", "j").orderBy("i")
-    steps = dem.withColumn("dx", F.abs(F.col("z") - F.lag("z").over(along))).withColumn("dy", F.abs(F.col("z") - F.lag("z").over(down)))
-    return steps.groupBy("cell", "file_seq", "i").agg(F.count("z").alias("n"), F.coalesce(F.sum("dx"), F.lit(0)).alias("dx"), F.coalesce(F.sum("dy"), F.lit(0)).alias("dy"))
-
-
 def node_estimate(costs: DataFrame, step: int) -> DataFrame:
     """Contour nodes to expect of each tile: steps over the contour interval."""
     return costs.groupBy("cell").agg(F.floor((F.sum("dx") + F.sum("dy")) / F.lit(float(step))).alias("estimate"))
 
 
+TILES = "cell string, file_seq long, path string, lo long, hi long, estimate long, low double, high double"
+
+
+def chopped(n: np.ndarray, dx: np.ndarray, dy: np.ndarray, step: int, budget: int) -> list[tuple[str, int, int, float]]:
+    """path, first and last row and estimate of the tiles that a raster's rows are halved into, until
+    each is within the budget (0: none). Halves share their border row, the southern one comes
+    first (path 0); tiles without a sample go at every level. Rows are counted from 0."""
+    sums = [np.concatenate([[0], np.cumsum(v)]) for v in (n, dx, dy)]
+    out, stack = [], [("", 0, len(n) - 1)]
+    while stack:
+        path, lo, hi = stack.pop()
+        samples, along, down = (v[hi + 1] - v[lo] for v in sums)
+        if not samples:
+            continue
+        estimate = (along + down - dy[lo]) / step
+        if not budget or estimate <= budget or hi - lo < 2:
+            out.append((path, lo, hi, estimate))
+            continue
+        middle = lo + (hi - lo + 1) // 2
+        stack += [(path + "1", lo, middle), (path + "0", middle, hi)]
+    return out
+
+
 def chop(costs: DataFrame, step: int, budget: int) -> DataFrame:
-    """Tiles halved by rows until each is within the budget; halves share their border row, the
-    southern one comes first; tiles without a sample go at every level.
+    """Tiles of each raster by chopped(), with rows and least and greatest sample. One shuffle of a row
+    for each raster row; a task has the rows of one raster at a time."""
 
-    Works on one row for each raster row: prefix sums make every round a join of tile bounds
-    with two rows, and rounds are as many as halvings (about ten).
-    """
-    order = Window.partitionBy("cell").orderBy("i")
-    sums = costs.select("cell", "file_seq", "i", F.sum("n").over(order).alias("pn"), F.sum("dx").over(order).alias("px"), F.sum("dy").over(order).alias("py"), "n", "dx").cache()
-    tiles = sums.groupBy("cell", "file_seq").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).withColumn("path", F.lit(""))
-    done = None
-    low = sums.select("cell", F.col("i").alias("lo"), (F.col("pn") - F.col("n")).alias("n0"), (F.col("px") - F.col("dx")).alias("x0"), F.col("py").alias("y0"))
-    high = sums.select("cell", F.col("i").alias("hi"), F.col("pn").alias("n1"), F.col("px").alias("x1"), F.col("py").alias("y1"))
-    while True:
-        sized = tiles.join(low, ["cell", "lo"]).join(high, ["cell", "hi"]).where("n1 > n0")
-        sized = sized.withColumn("estimate", F.floor(((F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0"))) / F.lit(float(step)))).cache()
-        fits = sized.where(F.lit(budget == 0) | (F.col("estimate") <= budget) | (F.col("hi") - F.col("lo") < 2)).select("cell", "file_seq", "path", "lo", "hi", "estimate")
-        done = fits if done is None else done.union(fits)
-        rest = sized.where(~(F.lit(budget == 0) | (F.col("estimate") <= budget) | (F.col("hi") - F.col("lo") < 2)))
-        if rest.isEmpty():
-            return done
-        middle = F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) / 2)
-        south = rest.select("cell", "file_seq", middle.alias("lo"), "hi", F.concat("path", F.lit("0")).alias("path"))
-        tiles = south.union(rest.select("cell", "file_seq", "lo", middle.alias("hi"), F.concat("path", F.lit("1")).alias("path")))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        i, low, high = (pdf[c].to_numpy() for c in ("i", "low", "high"))
+        found = chopped(*(pdf[c].to_numpy() for c in ("n", "dx", "dy")), step, budget)
+        rows = [(pdf["cell"].iloc[0], pdf["file_seq"].iloc[0], path, i[lo], i[hi], int(e // 1), low[lo : hi + 1].min(), high[lo : hi + 1].max()) for path, lo, hi, e in found]
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in TILES.split(", ")])
+
+    return costs.groupBy("cell", "file_seq").applyInPandas(run, TILES)
 
 
 def spline_coefficients(values: np.ndarray) -> np.ndarray:

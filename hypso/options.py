@@ -111,7 +111,7 @@ class Options:
             self.source = [f"view{self.viewfinder_mask}", *self.source]
         if self.disable_rdp:
             self.epsilon = None
-        self.files = [f for f in self.files if f.rsplit(".", 1)[-1].lower() in ("hgt", "tif", "tiff", "vrt")]
+        self.files = [f for f in self.files if f.rsplit(".", 1)[-1].lower() in ("hgt", "tif", "tiff", "zip")]
         return self
 
 

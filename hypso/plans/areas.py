@@ -72,7 +72,7 @@ def hgt_name_bbox(spark, sf_dir):
 
 
 def hgt_area(spark, sf_dir):
-    p = hgt_name_bbox(spark, sf_dir).where("k % 10 = 3")
+    p = hgt_name_bbox(spark, sf_dir)
     return p.agg(F.min("min_lon").alias("min_lon"), F.min("min_lat").alias("min_lat"), F.max("max_lon").alias("max_lon"), F.max("max_lat").alias("max_lat"))
 
 
@@ -94,7 +94,7 @@ def output_names(spark, sf_dir):
     s = _table(spark, sf_dir, "supplier")
     lon, lat = F.col("s_suppkey") % 300 - 150 + (F.col("s_suppkey") % 8) / 8.0, F.col("s_suppkey") % 120 - 60 + (F.col("s_suppkey") % 16) / 16.0
     sources = F.array_distinct(F.array(F.when(F.col("s_suppkey") % 2 == 0, "view1").otherwise("sonn3"), F.when(F.col("s_suppkey") % 3 == 0, "srtm3").otherwise("view3")))
-    name = catalog.output_name(F.lit("out"), lon, lat, lon + 1, lat + 0.25, sources, F.array(F.lit("view3"), F.lit("view1"), F.lit("srtm3"), F.lit("sonn3")), "pbf")
+    name = catalog.output_name(F.lit("out_"), lon, lat, lon + 1, lat + 0.25, sources, F.array(F.lit("view3"), F.lit("view1"), F.lit("srtm3"), F.lit("sonn3")), ".osm.pbf")
     return s.select("s_suppkey", name.alias("name"))
 
 
@@ -224,7 +224,7 @@ SELECT c.ring, {name_sql('c.lat', 'c.lon')} AS cell, x.ring IS NOT NULL OR coale
 LEFT JOIN n ON c.ring = n.ring AND c.lon = n.lon AND c.lat = n.lat WHERE x.ring IS NOT NULL OR n.k > 0""",
     "cell_names": f"WITH {_PLACES} SELECT k, {name_sql('lat', 'lon')} AS cell, lat, lon FROM p",
     "hgt_name_bbox": f"WITH {_NAMES} SELECT * FROM f",
-    "hgt_area": f"WITH {_NAMES} SELECT min(min_lon) AS min_lon, min(min_lat) AS min_lat, max(max_lon) AS max_lon, max(max_lat) AS max_lat FROM f WHERE k % 10 = 3",
+    "hgt_area": f"WITH {_NAMES} SELECT min(min_lon) AS min_lon, min(min_lat) AS min_lat, max(max_lon) AS max_lon, max(max_lat) AS max_lat FROM f",
     "int_rounding": f"WITH {_PLACES} SELECT k, floor(v)::BIGINT AS low, ceil(v)::BIGINT AS high, (CASE WHEN ceil(v) - v < v - floor(v) THEN ceil(v) ELSE floor(v) END)::BIGINT AS close, greatest(0, ceil(greatest(v, v / 2)) - ceil(least(v, v / 2)))::BIGINT AS n_range, (floor(lat / 5.0::DOUBLE) * 5)::BIGINT AS five, (CASE WHEN lat % 2 = 0 THEN lat / 2.0 ELSE (lat - 1) / 2.0 END)::BIGINT AS half FROM p",
     "calc_bbox": f"WITH {_PLACES}, a AS (SELECT k, printf('%.4f', v) || ':' || printf('%.4f', v / 3) || ':' || printf('%.4f', v + 1.5) || ':' || printf('%.4f', v / 3 + 2) AS area FROM p), b AS (SELECT *, string_split(area, ':') AS q FROM a) SELECT k, area, floor(q[1]::DOUBLE - 0.25)::BIGINT AS min_lon, floor(q[2]::DOUBLE + 0.125)::BIGINT AS min_lat, ceil(q[3]::DOUBLE - 0.25)::BIGINT AS max_lon, ceil(q[4]::DOUBLE + 0.125)::BIGINT AS max_lat FROM b",
     "alos_url": f"WITH {_PLACES}, g AS (SELECT k, lat, lon, (floor(lat / 5.0::DOUBLE) * 5)::BIGINT AS a, (floor(lon / 5.0::DOUBLE) * 5)::BIGINT AS o FROM p) SELECT k, 'https://tiles.example/' || {name_sql('a', 'o').replace('%02d', '%03d')} || '/' || {name_sql('lat', 'lon').replace('%02d', '%03d')} || '.zip' AS url FROM g",

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import scalars as S
-from ..operators import contour, osm, polygon
+from ..operators import bands, osm, polygon
 from ..sinks import o5m, pbf
 from ..sources import made, rasters
 from ..sources.dem import SIDE, dem, dem_sql, header
-from .areas import small_rings
+from .areas import _SMALL, small_rings
 from .terrain import STEP, segments_sql
 
 N, GENERATOR = 32, "hypso"
@@ -23,7 +23,7 @@ N, GENERATOR = 32, "hypso"
 
 def _pieces(spark, sf_dir):
     d = dem(spark, sf_dir, N)
-    at = contour.segments(contour.quads(d, N), STEP).join(F.broadcast(header(d, N)), "cell")
+    at = bands.segments(bands.packed(d, N), STEP).drop("file_seq").join(F.broadcast(header(d, N)), "cell")
     lon, lat = (lambda x: F.col("min_lon") + F.col(x) * F.col("inc")), (lambda y: F.col("max_lat") - F.col(y) * F.col("inc"))
     closed = (F.col("i") + F.col("j")) % 5 == 0
     ends = lambda a, b: F.when(closed, F.array(a, b, a)).otherwise(F.array(a, b))
@@ -187,14 +187,18 @@ def kml_polygons(spark, sf_dir):
     return rings.groupBy("seq").agg(F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.count(F.lit(1)).alias("n"))
 
 
+CLIP = (6.4, 43.3, 7.6, 44.5)
+
+
 def polygon_clip(spark, sf_dir):
-    """The rings cut to a rectangle; holes are rings of their own."""
+    """The corners of the rings' parts within a rectangle, in millionths of a degree."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        found = polygon.clip_ring(pdf["x"].tolist(), pdf["y"].tolist(), (6.4, 43.3, 7.6, 44.5))
-        return pd.DataFrame({"ring": pdf["ring"].iloc[0], "seq": range(len(found)), "x": [p[0] for p in found], "y": [p[1] for p in found]})
+        found = {p for part in polygon.clip_ring(pdf["x"].tolist(), pdf["y"].tolist(), CLIP) for p in part}
+        return pd.DataFrame({"ring": pdf["ring"].iloc[0], "x": [p[0] for p in found], "y": [p[1] for p in found]})
 
-    return small_rings(spark, sf_dir).groupBy("ring").applyInPandas(run, "ring long, seq long, x double, y double")
+    e6 = lambda c: F.floor(F.col(c) * 1e6 + 0.5).alias(f"{c}_e6")
+    return small_rings(spark, sf_dir).groupBy("ring").applyInPandas(run, "ring long, x double, y double").select("ring", e6("x"), e6("y")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (id_allocation, osm_nodes, osm_ways, osm_xml_nodes, osm_xml_ways, osm_elements, osm_stats, coord_quantise, varint_encode, o5m_node_deltas, osm_timestamp, xml_sink, pbf_sink, o5m_sink, o5m_string_table, hgt_scan, geotiff_scan, geotiff_bbox, zip_members, supersample, supersample_knots, poly_scan, kml_polygons, polygon_clip)}
@@ -243,4 +247,12 @@ SELECT tile_seq, strlen(text) AS bytes, md5(text) AS digest FROM whole""",
     "poly_scan": "SELECT n_regionkey::BIGINT AS file, printf('%.7f:%.7f:%.7f:%.7f', min(n_nationkey - 12)::DOUBLE, min(n_nationkey * 2 - 20)::DOUBLE, max(n_nationkey - 10)::DOUBLE, max(n_nationkey * 2 - 17)::DOUBLE) AS area FROM nation GROUP BY n_regionkey",
     "kml_polygons": "SELECT s AS seq, CAST(sum(CASE WHEN s = 0 THEN 1.5 ELSE 2.5 END) AS DOUBLE) AS sum_x, CAST(sum(CASE WHEN s = 2 THEN 9 ELSE n_nationkey END) AS DOUBLE) AS sum_y, count(*) AS n FROM nation, range(3) t(s) GROUP BY s",
     "o5m_string_table": "WITH w AS (SELECT x AS k, 's' || (x * x % 97) AS s FROM range(2000) t(x)), f AS (SELECT s, min(k) AS first FROM w GROUP BY s), o AS (SELECT s, row_number() OVER (ORDER BY first) AS place, first FROM f) SELECT w.k, CASE WHEN w.k = o.first THEN lower(hex(w.s)) ELSE lower(printf('%02x', (SELECT count(*) FROM f WHERE f.first < w.k) - o.place + 1)) END AS hex FROM w JOIN o USING (s)",
+    # A diamond and a rectangle, both convex: corners of either within the other, and where their edges meet.
+    "polygon_clip": f"""WITH {_SMALL}, box AS (SELECT {CLIP[0]}::DOUBLE AS l, {CLIP[1]}::DOUBLE AS b, {CLIP[2]}::DOUBLE AS r, {CLIP[3]}::DOUBLE AS t),
+corners AS (SELECT ring, x, y FROM c, LATERAL (SELECT unnest([l, l, r, r]) AS x, unnest([b, t, b, t]) AS y FROM box) k WHERE abs(x - cx) + abs(y - cy) <= c.r),
+own AS (SELECT ring, x, y FROM rings, box WHERE x BETWEEN l AND box.r AND y BETWEEN b AND t),
+upright AS (SELECT ring, v AS x, y1 + (v - x1) / (x2 - x1) * (y2 - y1) AS y FROM edges, LATERAL (SELECT unnest([l, r]) AS v, b, t FROM box) k WHERE (x1 < v) <> (x2 < v)),
+level AS (SELECT ring, x1 + (v - y1) / (y2 - y1) * (x2 - x1) AS x, v AS y FROM edges, LATERAL (SELECT unnest([b, t]) AS v FROM box) k WHERE (y1 < v) <> (y2 < v)),
+found AS (SELECT * FROM corners UNION ALL SELECT * FROM own UNION ALL SELECT upright.* FROM upright, box WHERE y BETWEEN b AND t UNION ALL SELECT level.* FROM level, box WHERE x BETWEEN l AND r)
+SELECT DISTINCT ring, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS x_e6, CAST(floor(y * 1e6 + 0.5) AS BIGINT) AS y_e6 FROM found""",
 }

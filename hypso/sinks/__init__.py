@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,6 +71,11 @@ def files(ways: DataFrame, boxes: DataFrame, kind: str, major: int = 200, medium
     return rows.groupBy("tile_seq").applyInPandas(run, "tile_seq long, content binary")
 
 
+def uri(folder: str) -> str:
+    """A folder as a URI; a path, relative ones too, is one of the local file system (on a cluster, name a shared one)."""
+    return folder if "://" in folder else Path(folder).absolute().as_uri()
+
+
 def put(rows: Iterator, folder: str) -> int:
     """Write (name, content) rows into a folder given as a URI or path; a file appears under its
     name only when it is whole, so a task that runs again leaves one copy."""
@@ -77,7 +83,7 @@ def put(rows: Iterator, folder: str) -> int:
 
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    store, root = fs.FileSystem.from_uri(uri(folder))
     store.create_dir(root, recursive=True)
     n = 0
     for name, content in rows:

@@ -97,11 +97,11 @@ def grouped_url(cell: Column, base: str = "https://tiles.example/") -> Column:
     return F.concat(F.lit(base), name(S.floor_multiple(lat, 5), S.floor_multiple(lon, 5)), F.lit("/"), name(lat, lon), F.lit(".zip"))
 
 
-def output_name(prefix: Column, left: Column, bottom: Column, right: Column, top: Column, used: Column, asked: Column, kind: str) -> Column:
-    """prefix_lonL_RlatB_T_sources: the asked sources that were used, in their order."""
-    box = F.concat(prefix, F.lit("_lon"), S.fixed(left, 2), F.lit("_"), S.fixed(right, 2), F.lit("lat"), S.fixed(bottom, 2), F.lit("_"), S.fixed(top, 2))
-    tail = {"xml": ".osm", "gzip": ".osm.gz", "pbf": ".osm.pbf", "o5m": ".o5m"}[kind]
-    return F.concat(box, F.lit("_"), F.array_join(F.array_intersect(asked, used), ","), F.lit(tail))
+def output_name(prefix: Column, left: Column, bottom: Column, right: Column, top: Column, used: Column, asked: Column, suffix: str) -> Column:
+    """lonL_RlatB_T_sources after a prefix: the asked sources that were used, in their order."""
+    box = F.concat(prefix, F.lit("lon"), S.fixed(left, 2), F.lit("_"), S.fixed(right, 2), F.lit("lat"), S.fixed(bottom, 2), F.lit("_"), S.fixed(top, 2))
+    named = F.array_join(F.array_intersect(asked, used), ",")
+    return F.concat(box, F.when(named == "", "").otherwise(F.concat(F.lit("_"), named)), F.lit(suffix))
 
 
 def bounds_tag(left: Column, bottom: Column, right: Column, top: Column) -> Column:

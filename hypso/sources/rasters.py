@@ -1,7 +1,7 @@
-"""Raster files to the long form: .hgt grids, baseline GeoTIFF, zip archives.
+"""Raster files to bands of rows: .hgt grids, baseline GeoTIFF, zip archives.
 
 Files are read by Spark's binary source, so any store that Spark reads will do; a file is decoded
-by the task that read it, row block by row block, so that Arrow batches stay small.
+once, by the task that read it, and given on band by band.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLES = "path string, i long, j long, z double"
+from ..functions.scalars import FOOT
+from ..operators.bands import cut, unpacked
+from ..operators.raster import super_sample
+
 EXTENSIONS = ("hgt", "tif", "tiff")
-#: Rows of a raster that go into one Arrow batch.
-BLOCK = 64
 
 
 class RasterError(ValueError):
@@ -49,17 +50,19 @@ GEOGRAPHIC, PROJECTED, WEB_MERCATOR, WGS84 = 2048, 3072, 3857, 4326
 
 
 @dataclass
-class Tiff:
-    grid: np.ndarray
-    origin: tuple[float, float]  # of the first sample's centre
-    step: tuple[float, float]
+class Place:
+    """Size of a raster, its projection, and where its samples' centres lie in it."""
+
+    rows: int
+    cols: int
     epsg: int
+    origin: tuple[float, float]  # of the first sample
+    step: tuple[float, float]
 
     def box(self) -> tuple[float, float, float, float]:
-        """Centres of the outermost samples, in the file's own projection."""
-        rows, cols = self.grid.shape
+        """Centres of the outermost samples."""
         (x, y), (dx, dy) = self.origin, self.step
-        return x, y + (rows - 1) * dy, x + (cols - 1) * dx, y
+        return x, y + (self.rows - 1) * dy, x + (self.cols - 1) * dx, y
 
 
 def _tags(data: bytes) -> tuple[dict[int, tuple], str]:
@@ -92,9 +95,39 @@ def _unpackbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def tiff_grid(data: bytes) -> Tiff:
-    """Band 1 of a GeoTIFF: strips or tiles; plain, deflate or PackBits; with or without
-    horizontal differencing. Rotated rasters are refused."""
+def unlzw(data: bytes) -> bytes:
+    """LZW as in TIFF: codes of 9 to 12 bits, high bits first; 256 starts anew, 257 ends; codes grow
+    by a bit when all but one of a width are taken."""
+    out, table, width, held, bits = bytearray(), [], 9, 0, 0
+    last = b""
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes((k,)) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            word = table[code]
+        elif last and code == len(table):
+            word = last + last[:1]
+        else:
+            raise RasterError("a bad code in LZW data")
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last = word
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+def tiff_grid(data: bytes) -> np.ndarray:
+    """Band 1 of a TIFF: strips or tiles; plain, LZW, deflate or PackBits; with or without
+    horizontal differencing."""
     tags, order = _tags(data)
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     cols, rows, bits, bands = one(WIDTH), one(HEIGHT), one(BITS, 1), one(BANDS, 1)
@@ -102,7 +135,7 @@ def tiff_grid(data: bytes) -> Tiff:
     if kind is None or bits not in (8, 16, 32, 64) or (kind == "f" and bits < 32):
         raise RasterError(f"samples of {bits} bits in format {one(FORMAT, 1)} can't be read")
     dtype = np.dtype(f"{order}{kind}{bits // 8}")
-    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpackbits}.get(one(COMPRESSION, 1))
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpackbits, 5: unlzw}.get(one(COMPRESSION, 1))
     if unpack is None or one(PREDICTOR, 1) not in (1, 2):
         raise RasterError(f"compression {one(COMPRESSION)} with predictor {one(PREDICTOR, 1)} can't be read")
     wide, high, places, sizes = (one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILES], tags[TILE_BYTES]) if TILES in tags else (cols, min(one(ROWS_PER_STRIP, rows), rows), tags[STRIPS], tags.get(STRIP_BYTES, (len(data),)))
@@ -117,6 +150,12 @@ def tiff_grid(data: bytes) -> Tiff:
         if one(PREDICTOR, 1) == 2:
             part = part.cumsum(axis=1, dtype=dtype.newbyteorder("="))
         grid[top : top + high, left : left + wide] = part[: rows - top, : cols - left]
+    return grid
+
+
+def tiff_place(data: bytes) -> Place:
+    """Where a GeoTIFF lies, by its tags alone. Rotated rasters are refused."""
+    tags, _ = _tags(data)
     if MATRIX in tags:
         m = tags[MATRIX]
         if m[1] or m[4]:
@@ -130,7 +169,8 @@ def tiff_grid(data: bytes) -> Tiff:
         raise RasterError("the file doesn't say where it lies")
     keys = tags.get(GEO_KEYS, ())
     named = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
-    return Tiff(grid, (corner[0] + step[0] / 2, corner[1] + step[1] / 2), step, named.get(PROJECTED) or named.get(GEOGRAPHIC) or WGS84)
+    epsg = named.get(PROJECTED) or named.get(GEOGRAPHIC) or WGS84
+    return Place(tags[HEIGHT][0], tags[WIDTH][0], epsg, (corner[0] + step[0] / 2, corner[1] + step[1] / 2), step)
 
 
 def grid_of(path: str, content: bytes) -> np.ndarray:
@@ -138,7 +178,7 @@ def grid_of(path: str, content: bytes) -> np.ndarray:
     if extension == "hgt":
         return hgt_grid(content)
     if extension in ("tif", "tiff"):
-        return tiff_grid(content).grid
+        return tiff_grid(content)
     raise RasterError(f"unknown extension {extension!r}")
 
 
@@ -146,54 +186,67 @@ def zoomed(n: int, zoom: float) -> int:
     return n if zoom == 1 else round(n * zoom)
 
 
-def samples(files: DataFrame, void_max: int = -32_768, zoom: float = 1.0, feet: bool = False) -> DataFrame:
-    """Long rows (path, i, j, z) of files (path, content). Samples at or under void_max are
-    void before smoothing; then, if asked for, a cubic zoom and feet."""
-    from ..functions.scalars import FOOT
-    from ..operators.raster import super_sample
+def place_of(path: str, content: bytes, corrx: float = 0.0, corry: float = 0.0, zoom: float = 1.0) -> Place:
+    """Where a file's samples lie once zoomed; corrx and corry are added to positions in degrees."""
+    if path.lower().endswith(".hgt"):
+        lon, lat = cell_of(path)
+        n = zoomed(hgt_grid(content).shape[0], zoom)
+        return Place(n, n, WGS84, (lon + corrx, lat + 1 + corry), (1 / (n - 1), -1 / (n - 1)))
+    found = tiff_place(content)
+    x0, y1, x1, y0 = found.box()
+    rows, cols = zoomed(found.rows, zoom), zoomed(found.cols, zoom)
+    if found.epsg == WGS84:
+        x0, x1, y0, y1 = x0 + corrx, x1 + corrx, y0 + corry, y1 + corry
+    return Place(rows, cols, found.epsg, (x0, y0), ((x1 - x0) / max(1, cols - 1), (y1 - y0) / max(1, rows - 1)))
+
+
+def heights(path: str, content: bytes, void_max: int, zoom: float, feet: bool) -> np.ndarray:
+    """A file's samples, NaN for void. Samples at or under void_max are void before smoothing; then, if
+    asked for, a cubic zoom and feet."""
+    grid = grid_of(path, content).astype(np.float64)
+    void = grid <= void_max
+    if zoom != 1:
+        grid, void = super_sample(grid, void, zoom)
+    return np.where(void, np.nan, grid * FOOT if feet else grid)
+
+
+BANDS = "path string, n_rows long, n_cols long, epsg long, x0 double, y0 double, dx double, dy double, own long, top long, z binary"
+
+
+def bands(files: DataFrame, void_max: int = -32_768, zoom: float = 1.0, feet: bool = False, corrx: float = 0.0, corry: float = 0.0) -> DataFrame:
+    """Bands of rows (see operators.bands) of files (path, content), each with its file's header."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                grid = grid_of(path, bytes(content)).astype(np.float64)
-                void = grid <= void_max
-                if zoom != 1:
-                    grid, void = super_sample(grid, void, zoom)
-                grid = np.where(void, np.nan, grid * FOOT if feet else grid)
-                for low in range(0, len(grid), BLOCK):
-                    part = grid[low : low + BLOCK]
-                    i, j = np.indices(part.shape)
-                    z = part.ravel()
-                    known = pd.arrays.FloatingArray(np.nan_to_num(z), np.isnan(z))  # NaN is no value, it becomes NULL
-                    yield pd.DataFrame({"path": path, "i": i.ravel() + low, "j": j.ravel(), "z": known})
+                data = bytes(content)
+                at = place_of(path, data, corrx, corry, zoom)
+                for own, top, part in cut(heights(path, data, void_max, zoom, feet)):
+                    row = (path, at.rows, at.cols, at.epsg, *at.origin, *at.step, own, top, part.tobytes())
+                    yield pd.DataFrame([row], columns=[f.split()[0] for f in BANDS.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, BANDS)
 
-    return files.select("path", "content").mapInPandas(run, SAMPLES)
+
+def samples(files: DataFrame, void_max: int = -32_768, zoom: float = 1.0, feet: bool = False) -> DataFrame:
+    """Long rows (path, i, j, z) of files (path, content)."""
+    own = bands(files, void_max, zoom, feet).select(F.col("path").alias("cell"), F.lit(0).cast("long").alias("file_seq"), "own", "top", "n_cols", "z")
+    return unpacked(own).select(F.col("cell").alias("path"), "i", "j", "z")
 
 
 HEADER = "path string, n_rows long, n_cols long, epsg long, x0 double, y0 double, dx double, dy double"
 
 
 def headers(files: DataFrame, corrx: float = 0.0, corry: float = 0.0, zoom: float = 1.0) -> DataFrame:
-    """A row for each file: size, projection, centre of the first sample, increments (dy < 0).
-    corrx and corry are added to positions in degrees."""
+    """A row for each file: size, projection, centre of the first sample, increments (dy < 0). No sample is decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                if path.lower().endswith(".hgt"):
-                    lon, lat = cell_of(path)
-                    side = hgt_grid(bytes(content)).shape[0]
-                    n = zoomed(side, zoom)
-                    out.append((path, n, n, WGS84, lon + corrx, lat + 1 + corry, 1 / (n - 1), -1 / (n - 1)))
-                else:
-                    t = tiff_grid(bytes(content))
-                    x0, y1, x1, y0 = t.box()
-                    rows, cols = (zoomed(k, zoom) for k in t.grid.shape)
-                    if t.epsg == WGS84:
-                        x0, x1, y0, y1 = x0 + corrx, x1 + corrx, y0 + corry, y1 + corry
-                    out.append((path, rows, cols, t.epsg, x0, y0, (x1 - x0) / max(1, cols - 1), (y1 - y0) / max(1, rows - 1)))
-            yield pd.DataFrame(out, columns=["path", "n_rows", "n_cols", "epsg", "x0", "y0", "dx", "dy"])
+                at = place_of(path, bytes(content), corrx, corry, zoom)
+                out.append((path, at.rows, at.cols, at.epsg, *at.origin, *at.step))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in HEADER.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, HEADER)
 

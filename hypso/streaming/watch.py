@@ -35,15 +35,13 @@ def contour_batch(files: DataFrame, batch: int, o: Options, state: str) -> None:
         return
     last = marks(spark, state).where(F.col("batch") < batch).orderBy(F.desc("batch")).first()
     own = replace(o, start_node_id=last["node"] if last else o.start_node_id, start_way_id=last["way"] if last else o.start_way_id)
-    found, _ = engine.ways(spark, own, files.select("path", "content"))
-    ends = found.agg(F.max(F.col("first_node") + F.col("n_nodes")).alias("node"), (F.max("way_id") + 1).alias("way")).first()
-    engine.run(spark, own, files.select("path", "content"))
-    row = (batch, ends["node"] or own.start_node_id, ends["way"] or own.start_way_id)
+    _, node, way = engine.run(spark, own, files.select("path", "content"))
+    row = (batch, node, way)
     spark.createDataFrame([row], MARKS).coalesce(1).write.mode("append").parquet(f"{state}/marks")
 
 
 def watch(spark: SparkSession, folder: str, o: Options, state: str, glob: str = "*.{hgt,tif,tiff}", files_a_batch: int = 100, **trigger) -> StreamingQuery:
     """Start the stream; trigger: as for DataStreamWriter.trigger, availableNow=True by default."""
     new = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).load(folder)
-    writer = new.writeStream.option("checkpointLocation", f"{state}/stream").foreachBatch(lambda df, batch: contour_batch(df.persist(), batch, o, state))
+    writer = new.writeStream.option("checkpointLocation", f"{state}/stream").foreachBatch(lambda df, batch: contour_batch(df, batch, o, state))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
