@@ -4,15 +4,21 @@ Each document has a vector of four transformed statistics: mean word length and
 square roots of its symbol, duplicate-line and repeated-window rates, all drawn towards
 a prior so that short documents do not stand out by chance. For every language and
 source the centre and scatter of the vectors are minimum-covariance-determinant
-estimates: from a start at the medians and quartiles, concentration steps take the mean
-and covariance of the 75 % of documents with the smallest Mahalanobis distances, each
-of which lowers the determinant. A document is rejected if its distance exceeds a
-chi-square quantile, or by the base rules (under ten words, or a fifth of its words in
-repeated windows).
+estimates: from a start at the medians and quartiles of the language, concentration steps take
+the mean and covariance of the 75 % of documents with the smallest Mahalanobis distances,
+each of which lowers the determinant until it stays; documents that would be rejected are in no
+core. A document is rejected if its distance exceeds a chi-square quantile, or by the base rules
+(under ten words, or a fifth of its words in repeated windows).
+
+Small groups are no special case: to a group's sums over its core PRIOR documents are added that
+are as its language's core on average, and to a language's as many like the core of all. So a
+group of few documents is judged much like its language, a large one by itself; a language of few
+documents is judged much like all.
 
 All is DataFrame and SQL functions. The statistics are whole numbers, so sums don't
 depend on their order, and a step is one pass that adds up moments by group and distance
-bin. The same SQL text states the estimates for Spark and for other engines.
+bin; the core ends with a bin, so it has 75 % or a little more. The same SQL text states the
+estimates for Spark and for other engines; tests hold them against numpy.
 """
 
 from __future__ import annotations
@@ -30,9 +36,10 @@ UNIT = 256
 #: Least spread of each, in units: what a healthy group varies by even if it shows less.
 FLOORS = (64.0, 12.0, 20.0, 20.0)
 #: Share of a group that the estimates rest on, steps, distance bins for each fourth root.
-CORE, STEPS, BINS = 0.75, 4, 32
-#: Smaller groups are pooled by language, then altogether; under LEAST no verdict is given.
-POOL, LEAST = 200, 40
+CORE, STEPS, BINS = 0.75, 6, 64
+#: Documents like its language's (the language's: like all) that are added to a group's, and to a
+#: language's start: a few documents of a language unlike all others speak for themselves, one doesn't.
+PRIOR, START = 40, 5
 #: chi-square quantile (4 degrees of freedom) of 1 - 1e-6: the vectors have heavier tails than normal ones.
 CUT = 33.38
 WINDOW = 5
@@ -101,13 +108,13 @@ TRANSFORMED = f"""SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
   CAST(floor(CAST({UNIT} AS DOUBLE) * sqrt(CAST(n_dup_lines AS DOUBLE) / (n_lines + 5))) AS BIGINT) AS x3,
   CAST(floor(CAST({UNIT} AS DOUBLE) * sqrt(CAST(n_repeat_words AS DOUBLE) / (n_words + 20))) AS BIGINT) AS x4"""
 
-#: Groups by language and source; small ones pooled.
-GROUPS = f"""sizes AS (SELECT _lang, _source, count(*) AS c FROM healthy GROUP BY _lang, _source),
-pools AS (SELECT _lang, sum(CASE WHEN c < {POOL} THEN c ELSE 0 END) AS rest FROM sizes GROUP BY _lang),
-groups AS (SELECT s._lang AS gl, s._source AS gs,
-    CASE WHEN s.c >= {POOL} THEN concat(s._lang, '/', s._source) WHEN p.rest >= {POOL} THEN s._lang ELSE '*' END AS g
-  FROM sizes s JOIN pools p ON s._lang = p._lang),
-fit AS (SELECT groups.g, x1, x2, x3, x4 FROM healthy JOIN groups ON _lang = gl AND _source = gs)"""
+_GROUP = "concat('g', length(_lang), ':', _lang, '/', _source)"
+_LANG = "concat('l', _lang)"
+_LEVELS = ((0, "'*'", "'*'"), (1, _LANG, "'*'"), (2, _GROUP, _LANG))
+#: Every group, language and all of them, with what each is drawn to and where it starts.
+TREE = "SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT {g} AS g, {n} AS lev, {up} AS up, {_LANG if n else g} AS s FROM healthy" for n, g, up in _LEVELS) + ") every_level"
+#: Healthy documents' vectors, once for each of the three.
+FIT = " UNION ALL ".join(f"SELECT {g} AS g, x1, x2, x3, x4 FROM healthy" for _, g, _ in _LEVELS)
 
 
 def _root(m: str, s: str) -> str:
@@ -146,50 +153,70 @@ def _quartiles(fit: str, quantile: str) -> str:
     return f"SELECT g, count(*) AS n, {q} FROM {fit} GROUP BY g"
 
 
+_SUMS = [f"s{i}" for i in range(1, 5)] + [f"s{i}{j}" for i in range(1, 5) for j in range(i, 5)]
+
+
+def _drawn(k: int) -> list[tuple[str, str]]:
+    """From core sums c<k>: the sums with those that a group is drawn to, from all down to groups."""
+    added = lambda own, up: ", ".join([f"coalesce({own}.n, 0) + {PRIOR} AS n", *(f"coalesce({own}.{x}, 0) + {PRIOR} * {up}.{x} / {up}.n AS {x}" for x in _SUMS)])
+    names = ", ".join(["g", "n", *_SUMS])
+    return [
+        (f"a{k}", f"SELECT {names} FROM c{k} WHERE g = '*'"),
+        (f"b{k}", f"SELECT tree.g AS g, {added(f'c{k}', f'a{k}')} FROM tree JOIN a{k} ON up = a{k}.g AND lev = 1 LEFT JOIN c{k} ON c{k}.g = tree.g"),
+        (f"d{k}", f"SELECT tree.g AS g, {added(f'c{k}', f'b{k}')} FROM tree JOIN b{k} ON up = b{k}.g AND lev = 2 LEFT JOIN c{k} ON c{k}.g = tree.g"),
+        (f"u{k}", f"SELECT {names} FROM a{k} UNION ALL SELECT {names} FROM b{k} UNION ALL SELECT {names} FROM d{k}"),
+    ]
+
+
 def estimates(quantile: str) -> list[list[tuple[str, str]]]:
-    """Steps from `fit` to p0 ... p<STEPS>, each a list of (name, select): the robust centre and
-    scatter of each group. quantile: the engine's exact, interpolated one."""
-    start = ", ".join(f"q{i}2 AS m{i}" for i in range(1, 5)) + ", " + ", ".join((f"((q{i}3 - q{i}1) / 1.349) * ((q{i}3 - q{i}1) / 1.349) + {FLOORS[i - 1] ** 2}" if i == j else "CAST(0 AS DOUBLE)") + f" AS c{i}{j}" for i in range(1, 5) for j in range(1, i + 1))
-    out = [[("q", _quartiles("fit", quantile)), ("p0", _factor(f"SELECT g, n, {start} FROM q"))]]
+    """Steps from `tree` and `fit` to p0 ... p<STEPS>, each a list of (name, select): the robust centre
+    and scatter of each group. quantile: the engine's exact, interpolated one."""
+    spread = lambda i: f"((q{i}3 - q{i}1) / 1.349) * ((q{i}3 - q{i}1) / 1.349)"
+    alone = ", ".join(["g", "CAST(n AS DOUBLE) AS n", *(f"CAST(q{i}2 AS DOUBLE) AS m{i}, {spread(i)} AS v{i}" for i in range(1, 5))])
+    # A language's start is drawn to that of all, too, though much less.
+    share = f"(o.n / (o.n + {START}))"
+    mixed = ", ".join(["o.g AS g", "o.n AS n", *(f"{share} * o.m{i} + (1 - {share}) * r.m{i} AS m{i}, {share} * o.v{i} + (1 - {share}) * r.v{i} AS v{i}" for i in range(1, 5))])
+    start = ", ".join(f"m{i}" for i in range(1, 5)) + ", " + ", ".join((f"v{i} + {FLOORS[i - 1] ** 2}" if i == j else "CAST(0 AS DOUBLE)") + f" AS c{i}{j}" for i in range(1, 5) for j in range(1, i + 1))
+    quartiles = _quartiles("(SELECT fit.* FROM fit JOIN tree ON fit.g = tree.g AND tree.g = tree.s) started", quantile)
+    begun = f"SELECT {alone} FROM q WHERE g = '*' UNION ALL SELECT {mixed} FROM (SELECT {alone} FROM q WHERE g <> '*') o JOIN (SELECT {alone} FROM q WHERE g = '*') r ON o.g <> r.g"
+    out = [[("q", quartiles), ("z", begun), ("p0", _factor(f"SELECT tree.g AS g, n, {start} FROM tree JOIN z ON tree.s = z.g"))]]
     sums = ", ".join([f"sum(x{i}) AS s{i}" for i in range(1, 5)] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(1, 5) for j in range(i, 5)])
-    again = ", ".join([f"CAST(sum(s{i}) AS DOUBLE) AS s{i}" for i in range(1, 5)] + [f"CAST(sum(s{i}{j}) AS DOUBLE) AS s{i}{j}" for i in range(1, 5) for j in range(i, 5)])
+    again = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {x}" for x in _SUMS)
     for k in range(1, STEPS + 1):
         joined = f"SELECT fit.g AS g, x1, x2, x3, x4, m1, m2, m3, m4, l11, l21, l22, l31, l32, l33, l41, l42, l43, l44 FROM fit JOIN p{k - 1} ON fit.g = p{k - 1}.g"
         binned = f"SELECT *, CAST(floor({BINS} * sqrt(sqrt(d2))) AS BIGINT) AS bin FROM ({_distance(joined, 'g, x1, x2, x3, x4')}) d"
         moments = f"SELECT g, bin, count(*) AS k, {sums} FROM ({binned}) e GROUP BY g, bin"
         upto = f"SELECT *, sum(k) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - k AS before, sum(k) OVER (PARTITION BY g) AS total FROM t{k}"
-        core = f"SELECT g, CAST(sum(k) AS DOUBLE) AS n, {again} FROM h{k} WHERE before < {CORE} * total GROUP BY g"
-        estimate = _factor("SELECT g, n, " + _root("s{i} / n", "s{i}{j}") + f" FROM ({core}) core")
-        out.append([(f"t{k}", moments), (f"h{k}", upto), (f"p{k}", estimate)])
+        core = f"SELECT g, CAST(sum(k) AS DOUBLE) AS n, {again} FROM h{k} WHERE before < {CORE} * total AND bin <= {int(BINS * (CUT * consistency()) ** 0.25)} GROUP BY g"
+        estimate = _factor("SELECT g, n, " + _root("s{i} / n", "s{i}{j}") + f" FROM u{k}")
+        out.append([(f"t{k}", moments), (f"h{k}", upto), (f"c{k}", core), *_drawn(k), (f"p{k}", estimate)])
     return out
 
 
 def verdicts(rest: str) -> str:
     """The final select over `all_rows`: joins groups and estimates; rest: columns to return."""
     last = f"p{STEPS}"
-    joined = f"SELECT a.*, {last}.n AS n_core, m1, m2, m3, m4, l11, l21, l22, l31, l32, l33, l41, l42, l43, l44 FROM all_rows a LEFT JOIN groups ON a._lang = gl AND a._source = gs LEFT JOIN {last} ON groups.g = {last}.g"
+    joined = f"SELECT a.*, m1, m2, m3, m4, l11, l21, l22, l31, l32, l33, l41, l42, l43, l44 FROM (SELECT *, {_GROUP} AS own FROM all_rows) a LEFT JOIN {last} ON own = {last}.g"
     apart = _distance(joined, "*")
     return f"""SELECT {rest}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND coalesce(n_core < {CORE * LEAST} OR d2 <= {CUT * consistency()}, true)) AS kept
+  (NOT base_failed AND coalesce(d2 <= {CUT * consistency()}, true)) AS kept
 FROM ({apart}) verdict"""
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None, **columns) -> DataFrame:
     """`_row` with the base statistics, base_failed and kept.
 
-    A null or empty text has no words and fails the base rules. Null languages and
-    sources are groups of their own; groups too small to estimate are pooled by language,
-    then altogether, and with under LEAST healthy documents only the base rules decide.
-    Very long texts count whole. Repeated rows each count and get the same verdict. An
-    empty table gives an empty result. Extra columns stay in `_row`.
+    A null or empty text has no words and fails the base rules. Null languages and sources are
+    groups of their own. Groups of any size, of one document too, are judged by an estimate that
+    is drawn to their language's. Very long texts count whole. Repeated rows each count and get the
+    same verdict; documents at the same distance share theirs. An empty table gives an empty result.
+    Extra columns stay in `_row`.
     """
     spark = docs.sparkSession
     base = base_statistics(docs, keep=keep, **columns)
     rows = written(spark.sql(TRANSFORMED + " FROM {rows}", rows=base))
-    frames = {"rows": rows}
-    healthy = "WITH healthy AS (SELECT _lang, _source, x1, x2, x3, x4 FROM {rows} WHERE NOT base_failed),\n" + GROUPS
-    frames["groups"] = written(spark.sql(healthy + "\nSELECT * FROM groups", rows=rows))
-    frames["fit"] = spark.sql("SELECT groups.g, x1, x2, x3, x4 FROM {rows} JOIN {groups} groups ON _lang = gl AND _source = gs WHERE NOT base_failed", rows=rows, groups=frames["groups"])
+    healthy = "WITH healthy AS (SELECT _lang, _source, x1, x2, x3, x4 FROM {rows} WHERE NOT base_failed)\n"
+    frames = {"tree": written(spark.sql(healthy + TREE, rows=rows)), "fit": spark.sql(healthy + FIT, rows=rows)}
     for step in estimates("percentile({x}, {p})"):  # the estimates are a row a group; lineage is cut after each step
         *before, (name, last) = step
         text = "WITH " + ",\n".join(f"{n} AS ({x})" for n, x in before) + f"\n{last}"
@@ -197,15 +224,17 @@ def judged(docs: DataFrame, keep: list[str] | None = None, **columns) -> DataFra
         views = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in known)
         frames[name] = written(spark.sql(text.replace("WITH ", f"WITH {views},\n", 1), **{n: frames[n] for n in known}))
     last = f"p{STEPS}"
-    return spark.sql(f"WITH all_rows AS (SELECT * FROM {{rows}}), groups AS (SELECT * FROM {{groups}}), {last} AS (SELECT * FROM {{{last}}})\n" + verdicts("_row"), rows=rows, groups=frames["groups"], **{last: frames[last]})
+    return spark.sql(f"WITH all_rows AS (SELECT * FROM {{rows}}), {last} AS (SELECT * FROM {{{last}}})\n" + verdicts("_row"), rows=rows, **{last: frames[last]})
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
+    """The documents that are kept, with the columns they came with; null and empty texts go, as they have
+    no words. Ties, repeated rows, long texts, empty tables and extra columns: as in judged()."""
     return judged(docs).where("kept").select("_row.*")
 
 
 def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents; see judged()."""
     out = judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -227,6 +256,7 @@ stats AS (
   FROM texts JOIN word_lists USING (rid) JOIN line_lists USING (rid) LEFT JOIN covered USING (rid)),
 all_rows AS ({TRANSFORMED} FROM stats),
 healthy AS (SELECT * FROM all_rows WHERE NOT base_failed),
-{GROUPS},
+tree AS ({TREE}),
+fit AS ({FIT}),
 {steps}
 {verdicts("doc_id")}"""
