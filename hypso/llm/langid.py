@@ -17,14 +17,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import exact, small_batches, table, with_row
 
 ORDER = 4
-#: The sample that is learned from: so many rows of each language, none of them longer than this.
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
+#: The sample that is learned from: so many rows of each language, none of them longer than this, and so
+#: many languages, those with the most rows.
+SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 500, 20_000, 100
+#: Letters that have numbers of their own, the most frequent ones: a symbol has 16 bits.
+LETTERS = 65_000
 #: Every so manieth row of the sample calibrates instead of teaching.
 HELD = 5
 #: Share of a language's own texts that rejection may cost.
@@ -140,9 +143,10 @@ class Model:
         for lang, text in rows:
             seen[lang] += 1
             (held.append((lang, text)) if seen[lang] % HELD == 0 else taught[lang].append(text))
-        points = np.unique(np.concatenate([np.unique(symbols(t)[0]) for t in taught.values()] or [np.zeros(1, np.uint32)]))
-        points = points[points > 0][:65_000]
-        self.ids = np.ones(0x110000, np.uint16)  # 1: a letter that was never seen
+        points, often = np.unique(np.concatenate([symbols(t)[0] for t in taught.values()] or [np.zeros(1, np.uint32)]), return_counts=True)
+        points, often = points[points > 0], often[points > 0]
+        points = np.sort(points[np.argsort(-often, kind="stable")[:LETTERS]])
+        self.ids = np.ones(0x110000, np.uint16)  # 1: a letter that was never seen, or too seldom
         self.ids[0] = 0
         self.ids[points] = np.arange(2, 2 + len(points))
         alphabet = len(points) + 2
@@ -218,28 +222,22 @@ class Model:
         ]
 
 
-def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from at most `rows` rows of each language, of at most `chars` characters each,
-    in the order of a hash: the same sample whatever the partitions. Null texts and languages
-    teach nothing."""
+def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Model:
+    """A model from at most `rows` rows of each language, of at most `chars` characters each, and of the
+    `languages` with the most rows (ties by name).
+
+    Rows are taken in the order of a hash of key and text: the same sample whatever the partitions,
+    and rows of one key are no more than any others. Null texts and languages teach nothing, nor do
+    longer texts; without any row the model has no language. Repeated rows count as often as they are taken.
+    """
     body = exact(text)
     usable = labelled.where(exact(lang).isNotNull() & body.isNotNull() & (F.length(body) <= chars))
-    usable = usable.select(exact(lang).alias("lang"), body.alias("text"), F.xxhash64(exact(key)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return Model([])
-    # A share of each language that holds `rows` rows almost surely; cut to `rows` afterwards.
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, (rows + 5 * rows**0.5) / n)).otherwise(share)
-    picked = usable.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).collect()
-    taken: dict[str, int] = {}
-    sample = []
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"] % (1 << 30), r["h"], r["text"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= rows:
-            sample.append((r["lang"], r["text"]))
-    return Model(sample)
+    usable = usable.select(exact(lang).alias("lang"), body.alias("text"), F.xxhash64(exact(key), body).alias("h"))
+    known = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    # The limit on ranks is applied before the shuffle, too, so that no task gets a whole language.
+    ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= rows)
+    sample = ranked.join(F.broadcast(known), "lang", "left_semi").select("lang", "rank", "text").collect()  # at most languages x rows x chars
+    return Model([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["lang"], r["rank"]))])
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -279,6 +277,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from two of three folds; see learn() and predicted()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = learn(docs.where(fold != 1))

@@ -374,6 +374,78 @@ def test_languages_on_held_out_rows(spark):
     assert truth.score.between(0, 1).all()
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of order 4 in dictionaries: raw counts at the top, below them how many different
+    symbols come before. Letters, one blank for what follows them, three blanks at the front."""
+
+    def __init__(self, texts, alphabet):
+        self.alphabet, self.levels = alphabet, {}
+        grams = Counter(tuple(s[k - 3 : k + 1]) for s in map(self.symbols, texts) for k in range(3, len(s)))
+        for order in (4, 3, 2, 1):
+            once, twice = sum(n == 1 for n in grams.values()), sum(n == 2 for n in grams.values())
+            total, kinds = Counter(), Counter()
+            for g, n in grams.items():
+                total[g[:-1]] += n
+                kinds[g[:-1]] += 1
+            self.levels[order] = (grams, total, kinds, once / (once + 2 * twice) if once and twice else 0.5)
+            grams = Counter(g[1:] for g in grams)
+
+    @staticmethod
+    def symbols(text):
+        out = [" "] * 3
+        for c in text.lower():
+            if c.isalpha():
+                out.append(c)
+            elif out[-1] != " ":
+                out.append(" ")
+        return out
+
+    def probability(self, gram):
+        if not gram:
+            return 1 / self.alphabet
+        grams, total, kinds, discount = self.levels[len(gram)]
+        below, context = self.probability(gram[1:]), gram[:-1]
+        if not total[context]:
+            return below
+        return max(grams[gram] - discount, 0) / total[context] + discount * kinds[context] / total[context] * below
+
+    def entropy(self, text):
+        s = self.symbols(text)
+        logs = [np.log(self.probability(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))]
+        return -sum(logs) / max(1, len(logs))
+
+
+def test_models_equal_plain_kneser_ney():
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs[docs.text.notna() & docs.lang.notna() & (docs.text.str.len() < 3000)]
+    rows = [(r.lang, r.text) for r in docs.sort_values("doc_id").head(60).itertuples()]
+    model = langid.Model(rows)
+    seen, taught = Counter(), {}
+    for lang, text in rows:  # every fifth of a language calibrates
+        seen[lang] += 1
+        if seen[lang] % 5:
+            taught.setdefault(lang, []).append(text)
+    letters = {c for texts in taught.values() for t in texts for c in t.lower() if c.isalpha()}
+    plain = {lang: PlainKneserNey(texts, len(letters) + 2) for lang, texts in taught.items()}
+    texts = [t for _, t in rows[:8]] + ["", "123 !", "a", "quite another text, of words nobody has seen", "漢字 and more", "  x  y "]
+    entropies, letters_in = model.entropies(texts)
+    for text, own, n in zip(texts, entropies, letters_in, strict=True):
+        assert n == sum(c.isalpha() for c in text.lower())
+        if n:
+            assert np.allclose(own, [plain[lang].entropy(text) for lang in model.languages], rtol=2e-5)
+
+
+def test_the_sample_is_bounded(spark):
+    """Rows of one doc_id, many languages, long texts and ties."""
+    data = [(7, f"text number {'abcdefghij'[k % 10] * (k + 1)}", "aa") for k in range(300)] + [(k, "z" * 500, "bb") for k in range(50)] + [(k, f"few {k}", f"l{k % 20:02}") for k in range(60)] + [(1, None, "aa"), (2, "no language", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(7)
+    model = langid.learn(docs, rows=20, chars=400, languages=3)
+    assert model.languages == ["aa", "l00", "l01"]
+    again = langid.learn(docs.repartition(2), rows=20, chars=400, languages=3)
+    assert (model.grams[4].hashes == again.grams[4].hashes).all() and (model.grams[4].values == again.grams[4].values).all()
+    assert langid.learn(docs.where("text IS NULL")).languages == []
+
+
 def test_probabilities_sum_to_one():
     """Interpolated Kneser-Ney: over the alphabet, each context's probabilities sum to one."""
     texts = ["the cat sat on the mat and the hat", "that was the thing that they said"]
@@ -387,4 +459,4 @@ def test_probabilities_sum_to_one():
     for order in range(1, langid.ORDER + 1):
         for context in counts.levels[order][2][:20]:
             keys = (context << np.uint64(16)) | symbols
-            assert abs(counts.probability(order, keys).sum() - 1) < 1e-9 + (alphabet - len(set(symbols.tolist()))) / alphabet
+            assert len(set(symbols.tolist())) == alphabet and abs(counts.probability(order, keys).sum() - 1) < 1e-9
