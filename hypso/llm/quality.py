@@ -36,7 +36,7 @@ UNIT = 256
 #: Least spread of each, in units: what a healthy group varies by even if it shows less.
 FLOORS = (64.0, 12.0, 20.0, 20.0)
 #: Share of a group that the estimates rest on, steps, distance bins for each fourth root.
-CORE, STEPS, BINS = 0.75, 6, 64
+CORE, STEPS, BINS = 0.75, 5, 64
 #: Documents like its language's (the language's: like all) that are added to a group's, and to a
 #: language's start: a few documents of a language unlike all others speak for themselves, one doesn't.
 PRIOR, START = 40, 5
@@ -169,8 +169,8 @@ def _drawn(k: int) -> list[tuple[str, str]]:
 
 
 def estimates(quantile: str) -> list[list[tuple[str, str]]]:
-    """Steps from `tree` and `fit` to p0 ... p<STEPS>, each a list of (name, select): the robust centre
-    and scatter of each group. quantile: the engine's exact, interpolated one."""
+    """Steps from `tree` and `fit` to p0 ... p<STEPS>, each a list of (name, select) of which the last is to be
+    written: the robust centre and scatter of each group. quantile: the engine's exact, interpolated one."""
     spread = lambda i: f"((q{i}3 - q{i}1) / 1.349) * ((q{i}3 - q{i}1) / 1.349)"
     alone = ", ".join(["g", "CAST(n AS DOUBLE) AS n", *(f"CAST(q{i}2 AS DOUBLE) AS m{i}, {spread(i)} AS v{i}" for i in range(1, 5))])
     # A language's start is drawn to that of all, too, though much less.
@@ -178,8 +178,8 @@ def estimates(quantile: str) -> list[list[tuple[str, str]]]:
     mixed = ", ".join(["o.g AS g", "o.n AS n", *(f"{share} * o.m{i} + (1 - {share}) * r.m{i} AS m{i}, {share} * o.v{i} + (1 - {share}) * r.v{i} AS v{i}" for i in range(1, 5))])
     start = ", ".join(f"m{i}" for i in range(1, 5)) + ", " + ", ".join((f"v{i} + {FLOORS[i - 1] ** 2}" if i == j else "CAST(0 AS DOUBLE)") + f" AS c{i}{j}" for i in range(1, 5) for j in range(1, i + 1))
     quartiles = _quartiles("(SELECT fit.* FROM fit JOIN tree ON fit.g = tree.g AND tree.g = tree.s) started", quantile)
-    begun = f"SELECT {alone} FROM q WHERE g = '*' UNION ALL SELECT {mixed} FROM (SELECT {alone} FROM q WHERE g <> '*') o JOIN (SELECT {alone} FROM q WHERE g = '*') r ON o.g <> r.g"
-    out = [[("q", quartiles), ("z", begun), ("p0", _factor(f"SELECT tree.g AS g, n, {start} FROM tree JOIN z ON tree.s = z.g"))]]
+    begun = f"SELECT {alone} FROM q WHERE g = '*' UNION ALL SELECT {mixed} FROM (SELECT {alone} FROM q) o JOIN tree ON o.g = tree.g AND lev = 1 JOIN (SELECT {alone} FROM q) r ON up = r.g"
+    out = [[("q", quartiles)], [("z", begun), ("p0", _factor(f"SELECT tree.g AS g, n, {start} FROM tree JOIN z ON tree.s = z.g"))]]
     sums = ", ".join([f"sum(x{i}) AS s{i}" for i in range(1, 5)] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(1, 5) for j in range(i, 5)])
     again = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {x}" for x in _SUMS)
     for k in range(1, STEPS + 1):
@@ -189,7 +189,8 @@ def estimates(quantile: str) -> list[list[tuple[str, str]]]:
         upto = f"SELECT *, sum(k) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - k AS before, sum(k) OVER (PARTITION BY g) AS total FROM t{k}"
         core = f"SELECT g, CAST(sum(k) AS DOUBLE) AS n, {again} FROM h{k} WHERE before < {CORE} * total AND bin <= {int(BINS * (CUT * consistency()) ** 0.25)} GROUP BY g"
         estimate = _factor("SELECT g, n, " + _root("s{i} / n", "s{i}{j}") + f" FROM u{k}")
-        out.append([(f"t{k}", moments), (f"h{k}", upto), (f"c{k}", core), *_drawn(k), (f"p{k}", estimate)])
+        # The sums are a row a group; what follows from them needs no shuffle.
+        out += [[(f"t{k}", moments), (f"h{k}", upto), (f"c{k}", core)], [*_drawn(k), (f"p{k}", estimate)]]
     return out
 
 
