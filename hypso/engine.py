@@ -21,7 +21,7 @@ from . import sinks
 from .functions import scalars as S
 from .operators import bands, contour, osm, polygon, raster
 from .options import Options
-from .sources import catalog, rasters
+from .sources import catalog, connectors, rasters
 
 
 def _by_epsg(c: Column, epsg: Column, mercator) -> Column:
@@ -135,12 +135,18 @@ def inputs(spark: SparkSession, o: Options, rings: DataFrame | None = None) -> D
         all_boxes = rings.groupBy("ring").agg(F.floor(F.min("x")).alias("left"), F.floor(F.min("y")).alias("bottom"), F.ceil(F.max("x")).alias("right"), F.ceil(F.max("y")).alias("top"))
         touched = polygon.files_needed(all_boxes, rings.select("ring", "seq", "x", "y")).select("cell").distinct()
         wanted = wanted.join(touched, "cell", "left_semi")
-    held = None
-    for option in o.source:
-        own = catalog.source(option, o.hgtdir).files(spark, int(option[4:])).select("cell", "path", F.lit(option).alias("nick"))
-        held = own if held is None else held.union(own)
-    chosen = catalog.preferred(wanted.distinct(), held.select("cell", "nick"), o.source).where("nick IS NOT NULL")
-    paths = [r["path"] for r in held.join(chosen, ["cell", "nick"]).select("path").distinct().collect()]  # one a cell of the area
+    left, paths = wanted.distinct(), []
+    for option in o.source:  # what one source has isn't asked of the next
+        origin = connectors.source(option, o.hgtdir)
+        origin.configure(o)
+        resolution = int(option[4:])
+        if o.rewrite_indices and isinstance(origin, connectors.Indexed):
+            origin.index(spark, resolution, anew=True)
+        found = origin.files(spark, resolution).join(left, "cell", "left_semi") if o.offline else origin.ensured(spark, left, resolution)
+        here = found.groupBy("cell").agg(F.min("path").alias("path")).collect()  # a row a cell of the area
+        if here:
+            paths += [r["path"] for r in here]
+            left = left.join(spark.createDataFrame([(r["cell"],) for r in here], "cell string"), "cell", "left_anti")
     if not paths:
         raise FileNotFoundError(f"no source of {', '.join(o.source)} has a file for the area in {o.hgtdir}")
     return read(spark, paths)

@@ -100,3 +100,13 @@ def unmercator_lat(y: Column) -> Column:
 
 def osm_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def close(a: Column, b: Column) -> Column:
+    """Whether two numbers differ by a billionth of the larger one at most."""
+    return F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 1e-9
+
+
+def aligned(low_left: Column, high_left: Column, high_right: Column, low_right: Column) -> Column:
+    """Whether four corners (structs of lon and lat) make a rectangle along meridians and parallels."""
+    return close(low_left["lat"], low_right["lat"]) & close(low_left["lon"], high_left["lon"]) & close(high_left["lat"], high_right["lat"]) & close(high_right["lon"], low_right["lon"])

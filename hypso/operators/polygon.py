@@ -80,6 +80,18 @@ def crossed_cells(rings: DataFrame) -> DataFrame:
     return e.select("ring", F.explode(cells).alias("c")).select("ring", "c.lon", "c.lat").distinct().withColumn("cell", cell_name(F.col("lat"), F.col("lon")))
 
 
+def filled_cells(rings: DataFrame) -> DataFrame:
+    """ring, cell: cells whose middle is in a ring. Edges go to the middle latitudes that they cross, so the
+    work is in proportion to crossings and cells, not to their product."""
+    low, high = F.ceil(F.least("y1", "y2") - 0.5), F.floor(F.greatest("y1", "y2") - 0.5)
+    rows = edges(rings).withColumn("row", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("lat", F.col("row") + 0.5).where("(y1 > lat) <> (y2 > lat)")
+    at = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossed = rows.groupBy("ring", "row").agg(F.collect_list(at).alias("xs"))
+    cells = crossed.withColumn("lon", F.explode(F.sequence(F.floor(F.array_min("xs")), F.ceil(F.array_max("xs")))))
+    inside_ = cells.where(F.size(F.filter("xs", lambda x: x > F.col("lon") + 0.5)) % 2 == 1)
+    return inside_.select("ring", cell_name(F.col("row"), F.col("lon")).alias("cell"))
+
+
 def files_needed(boxes: DataFrame, rings: DataFrame) -> DataFrame:
     """The cells of each ring's box (ring, left, bottom, right, top) that are needed, and whether
     their samples must be checked: crossed ones are; others by their corners (all in: needed,

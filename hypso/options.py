@@ -26,7 +26,7 @@ def _pair(text: str) -> tuple[int, int]:
 
 
 def _sources(text: str) -> list[str]:
-    from .sources.catalog import NICKS
+    from .sources.connectors import NICKS
 
     out = [x.strip().lower() for x in text.split(",") if x.strip()]
     for x in out:
@@ -86,7 +86,9 @@ class Options:
     viewfinder_mask: int = _option(0, int, "--viewfinder-mask", "prefer this source, of resolution 1 or 3, before all others")
     log: str = _option("WARNING", str, "-l --log", "log level")
     output: str = _option(".", str, "--output-dir", "folder of the output")
-    files: list = _option((), list, "files", "raster files")
+    offline: bool = _option(False, bool, "--offline", "take cached tiles only, fetch nothing")
+    files: list = _option((), list, "files", "raster files, or zip archives of them")
+    more: dict = field(default_factory=dict)  # options that sources have added
 
     @property
     def kind(self) -> str:
@@ -105,6 +107,8 @@ class Options:
             raise OptionError("a way needs two nodes")
         if not self.files and self.area is None and self.polygon is None:
             raise OptionError("nothing to do: no files, no area, no polygon")
+        if self.polygon and "://" not in self.polygon and not Path(self.polygon).is_file():
+            raise OptionError(f"there is no polygon file {self.polygon}")
         if self.source is None:
             self.source = [f"srtm{self.srtm}"]
         if self.viewfinder_mask:
@@ -125,11 +129,14 @@ def _value(f, text):
 def parse(argv: list[str], environ: dict | None = None) -> Options:
     """Options from argv, else HYPSO_<NAME> in the environment, else a JSON file named by
     --config or HYPSO_CONFIG, else defaults."""
+    from .sources.connectors import Source
+
     environ = dict(os.environ if environ is None else environ)
     parser = argparse.ArgumentParser(prog="hypso", description="Contour lines from elevation rasters.")
     parser.add_argument("--version", action="version", version="hypso 1")
     parser.add_argument("--config")
-    for f in fields(Options):
+    own = [f for f in fields(Options) if f.metadata]
+    for f in own:
         flags = f.metadata["flags"]
         if f.name == "files":
             parser.add_argument("files", nargs="*", help=f.metadata["help"])
@@ -139,11 +146,13 @@ def parse(argv: list[str], environ: dict | None = None) -> Options:
             parser.add_argument(*flags, dest="gzip", nargs="?", const="9", help=f.metadata["help"])
         else:
             parser.add_argument(*flags, dest=f.name, help=f.metadata["help"])
+    for kind in Source.registry.values():
+        kind.add_options(parser)
     given = vars(parser.parse_args(argv))
     path = given.pop("config") or environ.get(f"{ENVIRONMENT}CONFIG")
     stored = json.loads(Path(path).read_text()) if path else {}
-    out = Options()
-    for f in fields(Options):
+    out = Options(more={k: v for k, v in given.items() if k not in {f.name for f in own}})
+    for f in own:
         for value in (given[f.name] or None, environ.get(ENVIRONMENT + f.name.upper()), stored.get(f.name)):
             if value is not None:
                 setattr(out, f.name, _value(f, value))

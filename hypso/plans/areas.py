@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import polygon
-from ..sources import catalog
+from ..sources import catalog, connectors
 from ..sources.dem import dem, dem_sql, header
 
 R = "(0.10::DOUBLE + (n_nationkey % 5) * 0.05::DOUBLE)"
@@ -111,7 +111,7 @@ def _wanted(spark, sf_dir):
 def _held(spark, sf_dir):
     """What each source has: (nick, cell)."""
     s = _table(spark, sf_dir, "supplier")
-    nick = F.element_at(F.array(*map(F.lit, catalog.NICKS)), (F.col("s_suppkey") % len(catalog.NICKS) + 1).cast("int"))
+    nick = F.element_at(F.array(*map(F.lit, connectors.NICKS)), (F.col("s_suppkey") % len(connectors.NICKS) + 1).cast("int"))
     at = (F.col("s_suppkey") * 31 + F.col("s_nationkey") * 7) % 400
     return s.select(nick.alias("nick"), F.concat(F.lit("N"), F.format_string("%02d", (at / 20).cast("long") + 30), F.lit("E"), F.format_string("%03d", at % 20)).alias("cell")).distinct()
 
@@ -121,12 +121,12 @@ def source_preference(spark, sf_dir):
 
 
 def source_options(spark, sf_dir):
-    return catalog.options(spark)
+    return connectors.options(spark)
 
 
 def index_lookup(spark, sf_dir):
     index = _held(spark, sf_dir).select(F.concat(F.lit("http://host/"), "nick", F.lit("/"), F.substring("cell", 1, 3), F.lit(".zip")).alias("url"), "cell")
-    return catalog.lookup(_wanted(spark, sf_dir).select("cell"), index)
+    return catalog.lookup(_wanted(spark, sf_dir).select("cell"), index).withColumn("urls", F.array_join("urls", " "))
 
 
 def cache_validate(spark, sf_dir):
@@ -232,7 +232,7 @@ LEFT JOIN n ON c.ring = n.ring AND c.lon = n.lon AND c.lat = n.lat WHERE x.ring
     "bounds_tag": "SELECT s_suppkey, '<bounds minlat=\"' || printf('%.7f', {1}) || '\" minlon=\"' || printf('%.7f', {0}) || '\" maxlat=\"' || printf('%.7f', {1} + 1.0) || '\" maxlon=\"' || printf('%.7f', {0} + 1.0) || '\"/>' AS tag FROM supplier".format(_TLON, _TLAT),
     "source_preference": f"WITH {_HELD}, pref AS (SELECT * FROM (VALUES ('view1', 1), ('sonn3', 2), ('srtm3', 3)) v(nick, p)), best AS (SELECT cell, arg_min(nick, p) AS nick FROM held JOIN pref USING (nick) GROUP BY cell) SELECT cell, nick FROM wanted LEFT JOIN best USING (cell)",
     "source_options": "SELECT * FROM (VALUES ('alos', 1::BIGINT, 'alos1'), ('sonn', 1, 'sonn1'), ('sonn', 3, 'sonn3'), ('srtm', 1, 'srtm1'), ('srtm', 3, 'srtm3'), ('view', 1, 'view1'), ('view', 3, 'view3')) v(nick, resolution, option)",
-    "index_lookup": f"WITH {_HELD}, idx AS (SELECT 'http://host/' || nick || '/' || cell[1:3] || '.zip' AS url, cell FROM held) SELECT cell, min(url) AS first_url, count(DISTINCT url) AS n_urls FROM wanted JOIN idx USING (cell) GROUP BY cell",
+    "index_lookup": f"WITH {_HELD}, idx AS (SELECT 'http://host/' || nick || '/' || cell[1:3] || '.zip' AS url, cell FROM held) SELECT cell, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls, min(url) AS first_url, count(DISTINCT url) AS n_urls FROM wanted JOIN idx USING (cell) GROUP BY cell",
     "cache_validate": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END::BIGINT AS resolution, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE 0 END AS d, CASE WHEN o_orderkey % 7 = 0 THEN 'tif' ELSE 'hgt' END AS ext FROM orders), b AS (SELECT *, 2 * (3600 // resolution + 1) * (3600 // resolution + 1) AS full_ FROM o) SELECT o_orderkey, resolution, ext, (full_ - d)::BIGINT AS bytes, ext <> 'hgt' OR d = 0 AS valid FROM b",
     "index_sections": f"WITH {_INDEX} SELECT file, header, entry FROM sections",
     "index_diff": f"WITH {_INDEX} SELECT header, NOT contains(header, '1') AS same FROM (SELECT DISTINCT header FROM sections)",

@@ -7,7 +7,7 @@ gives the whole file as bytes. A tile is bounded by the node budget, so are its
 from __future__ import annotations
 
 import gzip
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -76,14 +76,19 @@ def uri(folder: str) -> str:
     return folder if "://" in folder else Path(folder).absolute().as_uri()
 
 
-def put(rows: Iterator, folder: str) -> int:
+def opened(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri(path))
+
+
+def put(rows: Iterable[tuple[str, bytes]], folder: str) -> int:
     """Write (name, content) rows into a folder given as a URI or path; a file appears under its
     name only when it is whole, so a task that runs again leaves one copy."""
     import uuid
 
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(uri(folder))
+    store, root = opened(folder)
     store.create_dir(root, recursive=True)
     n = 0
     for name, content in rows:

@@ -1,71 +1,13 @@
-"""Source catalogue: registry, cell and file names, indices, preferences, output names."""
+"""Source catalogue as plans: cell and file names, indices, listings, preferences, output names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 
-class Source:
-    """A connector. Subclasses register themselves by their four-letter nick."""
-
-    registry: dict[str, type[Source]] = {}
-    nick = ""
-    resolutions: tuple[int, ...] = (1, 3)
-    extension = "hgt"
-
-    def __init_subclass__(cls) -> None:
-        if len(cls.nick) != 4 or cls.nick in Source.registry:
-            raise ValueError(f"a source needs a nick of four letters that is its own: {cls.nick!r}")
-        Source.registry[cls.nick] = cls
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def files(self, spark: SparkSession, resolution: int) -> DataFrame:
-        """(cell, path, bytes) of what the folder holds; a listing, no file is opened."""
-        root = f"{self.folder}/{self.nick.upper()}{resolution}"
-        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{self.extension}").load(root).select("path", "length")
-        name = F.element_at(F.split("path", "/"), -1)
-        found = found.select(F.upper(F.substring(name, 1, 7)).alias("cell"), "path", F.col("length").alias("bytes"))
-        return found.where(valid_cache(F.lit(self.extension), F.col("bytes"), F.lit(resolution)))
-
-
-class ViewFinder(Source):
-    nick = "view"
-
-
-class Sonny(Source):
-    nick = "sonn"
-
-
-class Alos(Source):
-    nick, resolutions, extension = "alos", (1,), "tif"
-
-
-class Srtm(Source):
-    nick = "srtm"
-
-
-NICKS = tuple(sorted(f"{s.nick}{r}" for s in Source.registry.values() for r in s.resolutions))
-_made: dict[tuple[str, str], Source] = {}
-
-
-def source(option: str, folder: str) -> Source:
-    """The instance for an option such as view1, made once."""
-    nick = option[:4]
-    if nick not in Source.registry or int(option[4:]) not in Source.registry[nick].resolutions:
-        raise ValueError(f"unknown source {option!r}; there are {', '.join(NICKS)}")
-    return _made.setdefault((nick, folder), Source.registry[nick](folder))
-
-
-def options(spark: SparkSession) -> DataFrame:
-    rows = [(s.nick, r, f"{s.nick}{r}") for s in Source.registry.values() for r in s.resolutions]
-    return spark.createDataFrame(rows, "nick string, resolution long, option string")
-
-
 def raster_bytes(resolution: Column) -> Column:
     side = F.floor(F.lit(3600) / resolution) + 1
     return (side * side * 2).cast("long")
@@ -119,8 +61,10 @@ def preferred(wanted: DataFrame, held: DataFrame, order: list[str]) -> DataFrame
 
 
 def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidate archives of each wanted cell: the first by name, and how many."""
-    return wanted.join(index, "cell").groupBy("cell").agg(F.min("url").alias("first_url"), F.countDistinct("url").alias("n_urls"))
+    """Candidate archives of each wanted cell, in the order of their names: urls, the first, and how many.
+    A cell is in a few archives."""
+    listed = wanted.join(index, "cell").groupBy("cell").agg(F.sort_array(F.collect_set("url")).alias("urls"))
+    return listed.select("cell", "urls", F.col("urls")[0].alias("first_url"), F.size("urls").cast("long").alias("n_urls"))
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -139,9 +83,59 @@ def index_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return one(a, "x").join(one(b, "y"), "header", "full").select("header", F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("same"))
 
 
+def index_lines(index: DataFrame, title: str, version: int) -> DataFrame:
+    """no, line: the text of an index (header, entry): a comment with the version, then each header with its
+    entries, in order. A row a line; the world has under 65,000 cells."""
+    rows = index.select("header", F.lit(1).alias("kind"), "entry").union(index.select("header", F.lit(0), F.lit("")).distinct())
+    line = F.when(F.col("kind") == 0, F.concat(F.lit("["), "header", F.lit("]"))).otherwise(F.col("entry"))
+    own = rows.select((F.row_number().over(Window.orderBy("header", "kind", "entry"))).cast("long").alias("no"), line.alias("line"))
+    return index.sparkSession.createDataFrame([(0, f"# {title} index file, VERSION={version}")], "no long, line string").union(own)
+
+
+def index_versions(lines: DataFrame) -> DataFrame:
+    """file, version: what the first comment of each index (file, no, line) ends with; 1 if it has none."""
+    first = lines.groupBy("file").agg(F.min_by("line", F.when(F.col("line").startswith("#"), F.col("no"))).alias("comment"))
+    return first.select("file", F.coalesce(F.regexp_extract(F.trim("comment"), r"(\d+)$", 1).try_cast("long"), F.lit(1).cast("long")).alias("version"))
+
+
+def index_updated(index: DataFrame, found: DataFrame) -> DataFrame:
+    """An index (header, entry) in which the headers of found (header, entry) have what was found; entry null: nothing."""
+    return index.join(found.select("header").distinct(), "header", "left_anti").select("header", "entry").union(found.where("entry IS NOT NULL").select("header", "entry"))
+
+
+def listing(pages: DataFrame) -> DataFrame:
+    """continent, file: the archives that directory pages (continent, html) link to, by the text of the links."""
+    texts = pages.select("continent", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1))).alias("text"))
+    return texts.select("continent", F.trim("text").alias("file")).where("endswith(file, 'hgt.zip')")
+
+
+def by_continent(wanted: DataFrame, index: DataFrame, server: str) -> DataFrame:
+    """cell, url of the wanted cells in an index of archives (header: continent, entry): <cell>.hgt.zip, else the
+    misspelt <cell>hgt.zip that some are named."""
+    named = index.select("header", "entry", F.regexp_extract("entry", r"^(.*?)\.?hgt\.zip$", 1).alias("cell"), (~F.col("entry").endswith(".hgt.zip")).alias("faulty"))
+    best = named.where("cell <> ''").groupBy("cell").agg(F.min(F.struct("faulty", "entry", "header")).alias("b"))
+    return wanted.join(best, "cell").select("cell", F.concat_ws("/", F.lit(server), "b.header", "b.entry").alias("url"))
+
+
+def by_coverage(wanted: DataFrame, index: DataFrame, pattern: str) -> DataFrame:
+    """cell, url of the wanted cells that an index (entry) lists, in any case and with any extension; pattern
+    has {} for the cell."""
+    known = index.select(F.upper(F.split("entry", r"\.")[0]).alias("_known")).distinct()
+    return wanted.join(known, F.upper("cell") == F.col("_known")).select("cell", F.replace(F.lit(pattern), F.lit("{}"), F.col("cell")).alias("url"))
+
+
+def is_safe_url(url: Column) -> Column:
+    return F.coalesce(url.startswith("http:") | url.startswith("https:"), F.lit(False))
+
+
+def safe_url(url: Column) -> Column:
+    """The address, if it is one of the web; others (files, other schemes) raise."""
+    return F.when(is_safe_url(url), url).otherwise(F.raise_error(F.concat(F.lit("not an address to fetch: "), F.coalesce(url, F.lit("null")))).cast("string"))
+
+
 def odd_ones(hits: DataFrame) -> DataFrame:
-    """Cells that are hit an odd number of times (holes cancel)."""
-    return hits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    """Cells that are hit an odd number of times (holes cancel), in order."""
+    return hits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").orderBy("cell")
 
 
 def image_map(pages: DataFrame) -> DataFrame:

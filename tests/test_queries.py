@@ -9,10 +9,14 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hypso.plans import areas, elements, terrain
+from pyspark.sql import functions as F
 
-QUERIES = {**terrain.QUERIES, **areas.QUERIES, **elements.QUERIES}
-ORACLE = {**terrain.ORACLE, **areas.ORACLE, **elements.ORACLE}
+from hypso.operators import bands
+from hypso.plans import areas, connect, elements, terrain
+from hypso.sources import rasters
+
+QUERIES = {**terrain.QUERIES, **areas.QUERIES, **connect.QUERIES, **elements.QUERIES}
+ORACLE = {**terrain.ORACLE, **areas.ORACLE, **connect.ORACLE, **elements.ORACLE}
 TABLES = ("lineitem", "nation", "customer", "supplier", "orders", "events", "pages")
 
 
@@ -66,4 +70,14 @@ def test_plans_push_down(spark, tiny):
     """The grid reads three of lineitem's columns and shuffles partial sums."""
     plan = QUERIES["dem_scan"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_shipdate" not in plan and "partial_sum" in plan
-    assert "Python" not in plan and "Pandas" not in QUERIES["contour_segments"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_segments_of_files_need_no_shuffle(spark, tmp_path):
+    """From files to row costs and to segments nothing is exchanged, and a file is decoded by one scan."""
+    (tmp_path / "N00E000.hgt").write_bytes(b"\0\1" * 81)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    own = rasters.bands(files).select(F.col("path").alias("cell"), F.lit(0).cast("long").alias("file_seq"), "own", "top", "n_cols", "z")
+    for found in (bands.costs(own), bands.segments(own, 20)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Scan") == 1
