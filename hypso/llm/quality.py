@@ -220,10 +220,11 @@ def judged(docs: DataFrame, keep: list[str] | None = None, **columns) -> DataFra
     frames = {"tree": written(spark.sql(healthy + TREE, rows=rows)), "fit": spark.sql(healthy + FIT, rows=rows)}
     for step in estimates("percentile({x}, {p})"):  # the estimates are a row a group; lineage is cut after each step
         *before, (name, last) = step
-        text = "WITH " + ",\n".join(f"{n} AS ({x})" for n, x in before) + f"\n{last}"
-        known = [n for n in frames if re.search(rf"\b{n}\b(?!\.)", text)]
-        views = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in known)
-        frames[name] = written(spark.sql(text.replace("WITH ", f"WITH {views},\n", 1), **{n: frames[n] for n in known}))
+        named = [f"{n} AS ({x})" for n, x in before]
+        used = " ".join([*named, last])
+        known = [n for n in frames if re.search(rf"\b{n}\b(?!\.)", used)]
+        text = "WITH " + ",\n".join([*(f"{n} AS (SELECT * FROM {{{n}}})" for n in known), *named]) + f"\n{last}"
+        frames[name] = written(spark.sql(text, **{n: frames[n] for n in known}))
     last = f"p{STEPS}"
     return spark.sql(f"WITH all_rows AS (SELECT * FROM {{rows}}), {last} AS (SELECT * FROM {{{last}}})\n" + verdicts("_row"), rows=rows, **{last: frames[last]})
 
