@@ -28,30 +28,32 @@ def levels(stats: DataFrame, step: int, low: int | None = None, high: int | None
     return out if zero else out.where("level <> 0")
 
 
-def stitched(pdf: pd.DataFrame) -> list[tuple[bool, list[tuple[float, float]]]]:
-    """Lines (closed or not, points) from the segments of one tile and level. Ends first, from the
-    least key; what is left are rings, which repeat their first point at the end."""
-    ends: dict[int, list[int]] = {}
-    place: dict[int, tuple[float, float]] = {}
-    rows = list(pdf[["k1", "x1", "y1", "k2", "x2", "y2"]].itertuples(index=False, name=None))
-    for s, (k1, x1, y1, k2, x2, y2) in enumerate(rows):
-        ends.setdefault(k1, []).append(s)
-        ends.setdefault(k2, []).append(s)
-        place[k1], place[k2] = (x1, y1), (x2, y2)
-    used, out = [False] * len(rows), []
-    keys = sorted(ends)
-    for start in [k for k in keys if len(ends[k]) == 1] + keys:
-        free = [s for s in ends[start] if not used[s]]
-        if not free:
+def stitched(pdf: pd.DataFrame) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """Lines (closed or not, xs, ys) from the segments of one tile and level. Those with ends first,
+    from the least key; what is left are rings, which repeat their first point at the end.
+
+    A segment has two sides, k and k + n; sides on one edge are mates. A walk goes to a side's other
+    side, then to that one's mate.
+    """
+    n = len(pdf)
+    keys, edge, many = np.unique(np.concatenate([pdf["k1"], pdf["k2"]]), return_inverse=True, return_counts=True)
+    x, y = (np.concatenate([pdf[f"{c}1"], pdf[f"{c}2"]]) for c in "xy")
+    order = np.argsort(edge, kind="stable")
+    first = order[np.cumsum(many) - many]
+    mates = np.full(2 * n, -1)
+    both = order[np.flatnonzero(edge[order[1:]] == edge[order[:-1]])], order[1 + np.flatnonzero(edge[order[1:]] == edge[order[:-1]])]
+    mates[both[0]], mates[both[1]] = both[1], both[0]
+    mate, used, out = mates.tolist(), bytearray(n), []
+    for start in [*first[many == 1].tolist(), *first[many > 1].tolist()]:
+        if used[start % n]:
             continue
-        line, at = [place[start]], start
-        while free:
-            s = free[0]
-            used[s] = True
-            at = rows[s][3] if rows[s][0] == at else rows[s][0]
-            line.append(place[at])
-            free = [x for x in ends[at] if not used[x]]
-        out.append((at == start, line))
+        side, walk = start, [start]
+        while side >= 0 and not used[side % n]:
+            used[side % n] = 1
+            side = side + n if side < n else side - n
+            walk.append(side)
+            side = mate[side]
+        out.append((side == start, x[walk], y[walk]))
     return out
 
 
@@ -63,7 +65,7 @@ def lines(segments_: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, level = pdf["cell"].iloc[0], pdf["level"].iloc[0]
-        found = [(cell, level, k, closed, [p[0] for p in pts], [p[1] for p in pts]) for k, (closed, pts) in enumerate(stitched(pdf))]
+        found = [(cell, level, k, closed, xs, ys) for k, (closed, xs, ys) in enumerate(stitched(pdf))]
         return pd.DataFrame(found, columns=["cell", "level", "line", "closed", "xs", "ys"])
 
     return segments_.groupBy("cell", "level").applyInPandas(run, LINES_SCHEMA)

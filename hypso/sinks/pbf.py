@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
+
 from .o5m import read_unsigned, unsigned
 
 # Fixed values of the format: units of 1e-7 degrees (boxes: 1e-9), elements in a block.
@@ -27,12 +29,25 @@ def block(field: int, data: bytes) -> bytes:
     return unsigned(field * 8 + 2) + unsigned(len(data)) + data
 
 
-def packed(field: int, values) -> bytes:
-    return block(field, b"".join(map(unsigned, values)))
+def varints(values: np.ndarray) -> bytes:
+    """Numbers of up to 64 bits (uint64), seven bits a byte, low ones first, all at once."""
+    wide = max(1, -(-int(values.max(initial=0)).bit_length() // 7))
+    left = values[:, None] >> (7 * np.arange(wide, dtype=np.uint64))
+    there = left > 0
+    there[:, 0] = True
+    more = np.zeros_like(there)
+    more[:, :-1] = there[:, 1:]
+    return ((left & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7))[there].tobytes()
+
+
+def packed(field: int, values: np.ndarray) -> bytes:
+    return block(field, varints(values))
 
 
-def deltas(values: list[int]) -> list[int]:
-    return [zigzag(b - a) for a, b in zip([0, *values], values, strict=False)]
+def deltas(values: np.ndarray) -> np.ndarray:
+    """Each number less the one before, signs folded in."""
+    step = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    return ((step << 1) ^ (step >> 63)).astype(np.uint64)
 
 
 def blob(kind: str, message: bytes) -> bytes:
@@ -54,20 +69,21 @@ def data_block(strings: list[str], group: bytes) -> bytes:
 
 def encode(file) -> bytes:
     out = [header(file)]
-    nodes = [(w.first_node + k, lon, lat) for w in file.ways for k, (lon, lat) in enumerate(zip(w.lons, w.lats, strict=True))]
-    for low in range(0, len(nodes), IN_BLOCK):
-        ids, lons, lats = zip(*nodes[low : low + IN_BLOCK], strict=True)
-        units = lambda xs: deltas([round(x * UNIT) for x in xs])
-        out.append(data_block([], block(2, packed(1, deltas(list(ids))) + packed(8, units(lats)) + packed(9, units(lons)))))
+    if file.ways:
+        ids = np.concatenate([w.first_node + np.arange(len(w.lons)) for w in file.ways])
+        lons, lats = (np.rint(np.concatenate([getattr(w, c) for w in file.ways]) * UNIT) for c in ("lons", "lats"))
+        for low in range(0, len(ids), IN_BLOCK):
+            part = slice(low, low + IN_BLOCK)
+            out.append(data_block([], block(2, packed(1, deltas(ids[part])) + packed(8, deltas(lats[part])) + packed(9, deltas(lons[part])))))
     for low in range(0, len(file.ways), IN_BLOCK):
         names: dict[str, int] = {}
-        group = b""
+        group = []
         for w in file.ways[low : low + IN_BLOCK]:
             tags = (("ele", str(w.level)), ("contour", "elevation"), ("contour_ext", w.kind))
             place = [names.setdefault(x, len(names) + 1) for tag in tags for x in tag]
-            refs = [*range(w.first_node, w.first_node + len(w.lons)), *[w.first_node] * w.closed]
-            group += block(3, number(1, w.way_id) + packed(2, place[0::2]) + packed(3, place[1::2]) + packed(8, deltas(refs)))
-        out.append(data_block(list(names), group))
+            refs = np.append(w.first_node + np.arange(len(w.lons)), [w.first_node] * w.closed)
+            group.append(block(3, number(1, w.way_id) + packed(2, np.array(place[0::2], np.uint64)) + packed(3, np.array(place[1::2], np.uint64)) + packed(8, deltas(refs))))
+        out.append(data_block(list(names), b"".join(group)))
     return b"".join(out)
 
 
