@@ -135,6 +135,6 @@ def super_sample(grid: np.ndarray, void: np.ndarray, zoom: float) -> tuple[np.nd
     """A raster with zoom times the rows and columns: samples by a cubic spline, rounded half to
     even; voids from the nearest sample."""
     rows, cols = (round(n * zoom) for n in grid.shape)
-    out = np.rint(_stretched(_stretched(grid, rows).T, cols).T)
+    out = np.rint(_stretched(_stretched(grid, rows).T, cols).T) + 0.0  # no negative zero
     near = lambda n, size: np.floor(np.linspace(0, n - 1, size) + 0.5).astype(int)
     return out, void[np.ix_(near(grid.shape[0], rows), near(grid.shape[1], cols))]

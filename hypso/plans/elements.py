@@ -255,4 +255,14 @@ upright AS (SELECT ring, v AS x, y1 + (v - x1) / (x2 - x1) * (y2 - y1) AS y FROM
 level AS (SELECT ring, x1 + (v - y1) / (y2 - y1) * (x2 - x1) AS x, v AS y FROM edges, LATERAL (SELECT unnest([b, t]) AS v FROM box) k WHERE (y1 < v) <> (y2 < v)),
 found AS (SELECT * FROM corners UNION ALL SELECT * FROM own UNION ALL SELECT upright.* FROM upright, box WHERE y BETWEEN b AND t UNION ALL SELECT level.* FROM level, box WHERE x BETWEEN l AND r)
 SELECT DISTINCT ring, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS x_e6, CAST(floor(y * 1e6 + 0.5) AS BIGINT) AS y_e6 FROM found""",
+    # The spline's coefficients are sums of mirrored samples whose weights fall by the pole; at most four of them make a value.
+    "supersample": f"""WITH {dem_sql(N)}, g AS (SELECT cell, i, j, coalesce(z, -32768)::DOUBLE AS z FROM dem),
+taps AS (SELECT k, CASE WHEN q > {N - 1} THEN {2 * N - 2} - q ELSE q END AS m, sum(w) AS w FROM (SELECT a.x AS k, (a.x + l.x + {8 * (2 * N - 2)}) % {2 * N - 2} AS q, pow(sqrt(3.0::DOUBLE) - 2, abs(l.x)) * sqrt(3.0::DOUBLE) AS w FROM range({N}) a(x), range(-60, 61) l(x)) GROUP BY ALL),
+places AS (SELECT x AS p, least(floor(x / 2.0::DOUBLE), {N - 2})::BIGINT AS low, x / 2.0::DOUBLE - least(floor(x / 2.0::DOUBLE), {N - 2}) AS t, floor(x / 2.0::DOUBLE + 0.5)::BIGINT AS near FROM range({2 * N - 1}) r(x)),
+bases AS (SELECT p, CASE WHEN low + d < 0 THEN -(low + d) WHEN low + d > {N - 1} THEN {2 * N - 2} - (low + d) ELSE low + d END AS m,
+  CASE d WHEN -1 THEN (1 - t) ** 3 WHEN 0 THEN 3 * t ** 3 - 6 * t ** 2 + 4 WHEN 1 THEN -3 * t ** 3 + 3 * t ** 2 + 3 * t + 1 ELSE t ** 3 END / 6 AS w FROM places, (VALUES (-1), (0), (1), (2)) v(d)),
+whole AS (SELECT p, taps.m AS m, sum(bases.w * taps.w) AS w FROM bases JOIN taps ON bases.m = taps.k GROUP BY ALL),
+down AS (SELECT cell, p AS i, j, sum(w * z) AS z FROM g JOIN whole ON g.i = whole.m GROUP BY ALL),
+fine AS (SELECT cell, i, p AS j, sum(w * z) AS z FROM down JOIN whole ON down.j = whole.m GROUP BY ALL)
+SELECT f.cell || '.hgt' AS path, f.i, f.j, CASE WHEN g.z > -1000 THEN round_even(f.z, 0) + 0.0 END AS z FROM fine f JOIN places a ON a.p = f.i JOIN places b ON b.p = f.j JOIN g ON g.cell = f.cell AND g.i = a.near AND g.j = b.near""",
 }

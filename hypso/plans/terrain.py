@@ -193,6 +193,20 @@ _CLASS = "CASE WHEN {0} % 200 = 0 THEN 'elevation_major' WHEN {0} % 100 = 0 THEN
 _X, _Y = f"({_LON} * (pi() / 180.0) * 6378137.0)", f"(ln(tan(pi() / 4 + {_LAT} * (pi() / 360.0))) * 6378137.0)"
 _near = "CAST(floor({0} + 0.5) AS BIGINT)"
 _NUMBER = "(CASE {0}[1] WHEN 'H' THEN 0 WHEN 'V' THEN 1 ELSE 2 END::BIGINT * 281474976710656 + string_split({0}[2:], '_')[1]::BIGINT * 16777216 + string_split({0}[2:], '_')[2]::BIGINT)"
+# Lines by walking from segment to segment: open ones from their ends, rings from each of their edges.
+_LINES = f"""{_SEG.replace('WITH', 'WITH RECURSIVE', 1)},
+numbered AS (SELECT cell, level, {_NUMBER.format('k1')} AS k1, {_NUMBER.format('k2')} AS k2, x1, y1, x2, y2, row_number() OVER () AS s FROM segments),
+ways AS (SELECT cell, level, s, k1 AS f, k2 AS t, x1 AS x, y1 AS y FROM numbered UNION ALL SELECT cell, level, s, k2, k1, x2, y2 FROM numbered),
+degrees AS (SELECT cell, level, f AS k, count(*) AS d, min(x) AS x, min(y) AS y FROM ways GROUP BY ALL),
+walk AS (SELECT w.cell, w.level, w.f AS start, w.s AS s0, w.s, w.t AS k, 2 AS points FROM ways w JOIN degrees d ON d.cell = w.cell AND d.level = w.level AND d.k = w.f AND d.d = 1
+  UNION ALL SELECT w.cell, w.level, a.start, a.s0, w.s, w.t, a.points + 1 FROM walk a JOIN ways w ON w.cell = a.cell AND w.level = a.level AND w.f = a.k AND w.s <> a.s),
+ends AS (SELECT * FROM walk JOIN degrees d USING (cell, level, k) WHERE d.d = 1),
+open_keys AS (SELECT DISTINCT cell, level, k FROM walk),
+turn AS (SELECT w.cell, w.level, w.f AS start, w.s AS s0, w.s, w.t AS k, 2 AS points FROM ways w LEFT JOIN open_keys o ON o.cell = w.cell AND o.level = w.level AND o.k = w.f WHERE o.k IS NULL AND w.f < w.t
+  UNION ALL SELECT w.cell, w.level, a.start, a.s0, w.s, w.t, a.points + 1 FROM turn a JOIN ways w ON w.cell = a.cell AND w.level = a.level AND w.f = a.k AND w.s <> a.s WHERE a.k <> a.start AND w.t >= a.start),
+found AS (SELECT cell, level, false AS closed, start, s0, points FROM ends WHERE start < k UNION ALL SELECT cell, level, true, start, min(s0), points FROM turn WHERE k = start GROUP BY cell, level, start, points)"""
+_AWAY = """list_transform(range({a} + 1, {b}), lambda k: CASE WHEN xs[{a}] = xs[{b}] AND ys[{a}] = ys[{b}] THEN sqrt((xs[k] - xs[{a}]) * (xs[k] - xs[{a}]) + (ys[k] - ys[{a}]) * (ys[k] - ys[{a}]))
+  ELSE abs((xs[{b}] - xs[{a}]) * (ys[k] - ys[{a}]) - (ys[{b}] - ys[{a}]) * (xs[k] - xs[{a}])) / sqrt((xs[{b}] - xs[{a}]) * (xs[{b}] - xs[{a}]) + (ys[{b}] - ys[{a}]) * (ys[{b}] - ys[{a}])) END)"""
 ORACLE = {
     "dem_scan": f"{W} SELECT cell, file_seq, i, j, z::DOUBLE AS z, CAST(floor({_LON} * 1e6) AS BIGINT) AS lon_e6, CAST(floor({_LAT} * 1e6) AS BIGINT) AS lat_e6 FROM dem",
     "void_mask": f"{W} SELECT cell, i, j, CASE WHEN z > {VOID_MAX} THEN z::DOUBLE END AS z, coalesce(z <= {VOID_MAX}, true) AS masked FROM dem",
@@ -228,18 +242,19 @@ SELECT line, piece, len(part) AS points, part[1] AS first_x, part[-1] AS last_x,
     "reproject_bbox": f"{W}, b AS (SELECT DISTINCT cell, 6.0::DOUBLE + file_seq % 2 AS a, 43.0::DOUBLE + file_seq // 2 AS c FROM dem) SELECT cell, "
     + ", ".join(f"{_near.format(e)} AS {n}" for n, e in (("min_x_mm", "a * (pi() / 180.0) * 6378137.0 * 1e3"), ("min_y_mm", "ln(tan(pi() / 4 + c * (pi() / 360.0))) * 6378137.0 * 1e3"), ("max_x_mm", "(a + 1) * (pi() / 180.0) * 6378137.0 * 1e3"), ("max_y_mm", "ln(tan(pi() / 4 + (c + 1) * (pi() / 360.0))) * 6378137.0 * 1e3")))
     + " FROM b",
-    # Lines by walking from segment to segment: open ones from their ends, rings from each of their edges.
-    "contour_lines": f"""{_SEG.replace('WITH', 'WITH RECURSIVE', 1)},
-numbered AS (SELECT cell, level, {_NUMBER.format('k1')} AS k1, {_NUMBER.format('k2')} AS k2, x1, y1, x2, y2, row_number() OVER () AS s FROM segments),
-ways AS (SELECT cell, level, s, k1 AS f, k2 AS t, x1 AS x, y1 AS y FROM numbered UNION ALL SELECT cell, level, s, k2, k1, x2, y2 FROM numbered),
-degrees AS (SELECT cell, level, f AS k, count(*) AS d, min(x) AS x, min(y) AS y FROM ways GROUP BY ALL),
-walk AS (SELECT w.cell, w.level, w.f AS start, w.s, w.t AS k, 2 AS points FROM ways w JOIN degrees d ON d.cell = w.cell AND d.level = w.level AND d.k = w.f AND d.d = 1
-  UNION ALL SELECT w.cell, w.level, a.start, w.s, w.t, a.points + 1 FROM walk a JOIN ways w ON w.cell = a.cell AND w.level = a.level AND w.f = a.k AND w.s <> a.s),
-ends AS (SELECT * FROM walk JOIN degrees d USING (cell, level, k) WHERE d.d = 1),
-open_keys AS (SELECT DISTINCT cell, level, k FROM walk),
-turn AS (SELECT w.cell, w.level, w.f AS start, w.s, w.t AS k, 2 AS points FROM ways w LEFT JOIN open_keys o ON o.cell = w.cell AND o.level = w.level AND o.k = w.f WHERE o.k IS NULL AND w.f < w.t
-  UNION ALL SELECT w.cell, w.level, a.start, w.s, w.t, a.points + 1 FROM turn a JOIN ways w ON w.cell = a.cell AND w.level = a.level AND w.f = a.k AND w.s <> a.s WHERE a.k <> a.start AND w.t >= a.start),
-found AS (SELECT cell, level, false AS closed, start, points FROM ends WHERE start < k UNION ALL SELECT DISTINCT cell, level, true, start, points FROM turn WHERE k = start)
+    "contour_lines": f"""{_LINES}
 SELECT f.cell, f.level, row_number() OVER (PARTITION BY f.cell, f.level ORDER BY closed, start) - 1 AS line, closed, points::BIGINT AS points, CAST(floor(d.x * 1e6) AS BIGINT) AS x_e6, CAST(floor(d.y * 1e6) AS BIGINT) AS y_e6
 FROM found f JOIN degrees d ON d.cell = f.cell AND d.level = f.level AND d.k = f.start""",
+    # Each stretch with the point farthest from its chord; stretches where that is too far are parted there.
+    "rdp_simplify": f"""{_LINES},
+stops AS (SELECT w.cell, w.level, w.start, w.s0, w.k, w.points AS n FROM walk w SEMI JOIN found f ON f.cell = w.cell AND f.level = w.level AND f.start = w.start AND f.s0 = w.s0 AND NOT f.closed
+  UNION ALL SELECT w.cell, w.level, w.start, w.s0, w.k, w.points FROM turn w SEMI JOIN found f ON f.cell = w.cell AND f.level = w.level AND f.start = w.start AND f.s0 = w.s0 AND f.closed
+  UNION ALL SELECT cell, level, start, s0, start, 1 FROM found),
+shapes AS (SELECT p.cell, p.level, p.start, list(d.x ORDER BY n) AS xs, list(d.y ORDER BY n) AS ys FROM stops p JOIN degrees d ON d.cell = p.cell AND d.level = p.level AND d.k = p.k GROUP BY ALL),
+numbered_shapes AS (SELECT *, row_number() OVER () AS id FROM shapes),
+parts AS (SELECT id, xs, ys, 1::BIGINT AS a, len(xs)::BIGINT AS b, {_AWAY.format(a='1', b='len(xs)')} AS d FROM numbered_shapes
+  UNION ALL SELECT id, xs, ys, a2, b2, {_AWAY.format(a='a2', b='b2')} FROM (
+    SELECT id, xs, ys, CASE WHEN h = 0 THEN a ELSE a + list_position(d, list_max(d)) END AS a2, CASE WHEN h = 0 THEN a + list_position(d, list_max(d)) ELSE b END AS b2 FROM parts, (VALUES (0), (1)) v(h) WHERE list_max(d) > 0.1) halves),
+kept AS (SELECT id, count(*) + 1 AS n FROM parts WHERE coalesce(list_max(d), 0) <= 0.1 GROUP BY id)
+SELECT cell, level, CAST(sum(n - CASE WHEN xs[1] = xs[-1] AND ys[1] = ys[-1] THEN 1 ELSE 0 END) AS BIGINT) AS nodes, count(*) AS ways FROM numbered_shapes JOIN kept USING (id) GROUP BY cell, level""",
 }
