@@ -10,8 +10,9 @@ names do.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,16 +25,35 @@ from .options import Options
 from .sources import catalog, connectors, rasters
 
 
-def _by_epsg(c: Column, epsg: Column, mercator) -> Column:
-    return F.when(epsg == rasters.WEB_MERCATOR, mercator(c)).when(epsg == rasters.WGS84, c).otherwise(F.raise_error(F.concat(F.lit("no way to reproject EPSG:"), epsg)).cast("double"))
+class Projection(NamedTuple):
+    """Expressions from and to degrees. Each axis is on its own, so that boxes stay upright."""
+
+    lon: Callable[[Column], Column]
+    lat: Callable[[Column], Column]
+    x: Callable[[Column], Column]
+    y: Callable[[Column], Column]
+
+
+#: Projections of rasters by EPSG code; more may be added.
+PROJECTIONS = {
+    rasters.WGS84: Projection(*[lambda c: c] * 4),
+    rasters.WEB_MERCATOR: Projection(S.unmercator_lon, S.unmercator_lat, S.mercator_x, S.mercator_y),
+}
+
+
+def _by_epsg(c: Column, epsg: Column, axis: str) -> Column:
+    out = F.raise_error(F.concat(F.lit("no way to reproject EPSG:"), epsg)).cast("double")
+    for code, projection in PROJECTIONS.items():
+        out = F.when(epsg == code, getattr(projection, axis)(c)).otherwise(out)
+    return out
 
 
 def lon_of(x: Column, epsg: Column) -> Column:
-    return _by_epsg(x, epsg, S.unmercator_lon)
+    return _by_epsg(x, epsg, "lon")
 
 
 def lat_of(y: Column, epsg: Column) -> Column:
-    return _by_epsg(y, epsg, S.unmercator_lat)
+    return _by_epsg(y, epsg, "lat")
 
 
 def numbered(headers: DataFrame, area: tuple | None = None) -> DataFrame:
@@ -44,7 +64,7 @@ def numbered(headers: DataFrame, area: tuple | None = None) -> DataFrame:
         return h.withColumns({"i0": F.lit(0).cast("long"), "i1": F.col("n_rows") - 1, "j0": F.lit(0).cast("long"), "j1": F.col("n_cols") - 1})
     left, bottom, right, top = map(F.lit, area)
     epsg = F.col("epsg")
-    x, y = (lambda v: _by_epsg(v, epsg, S.mercator_x)), (lambda v: _by_epsg(v, epsg, S.mercator_y))
+    x, y = (lambda v: _by_epsg(v, epsg, "x")), (lambda v: _by_epsg(v, epsg, "y"))
     return raster.crop_bounds(h, x(left), y(bottom), x(right), y(top)).where("i0 <= i1 AND j0 <= j1")
 
 

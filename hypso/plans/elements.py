@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..functions import scalars as S
 from ..operators import bands, osm, polygon
-from ..sinks import o5m, pbf
+from ..sinks import counts, o5m, pbf
 from ..sources import made, rasters
 from ..sources.dem import SIDE, dem, dem_sql, header
 from .areas import _SMALL, small_rings
@@ -119,6 +119,12 @@ def o5m_sink(spark, sf_dir):
     return _decoded(spark, sf_dir, "o5m")
 
 
+def file_counts(spark, sf_dir):
+    """Elements of whole files of each kind, read again."""
+    named = lambda kind: _files(spark, sf_dir, kind).select(F.concat(F.col("tile_seq").cast("string"), F.lit(sinks.SUFFIX[kind])).alias("path"), "content")
+    return counts.counted(named("xml").union(named("pbf")).union(named("o5m")))
+
+
 def o5m_string_table(spark, sf_dir):
     """What stands for each of a sequence of strings, in hex."""
     def run(batches):
@@ -201,7 +207,7 @@ def polygon_clip(spark, sf_dir):
     return small_rings(spark, sf_dir).groupBy("ring").applyInPandas(run, "ring long, x double, y double").select("ring", e6("x"), e6("y")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (id_allocation, osm_nodes, osm_ways, osm_xml_nodes, osm_xml_ways, osm_elements, osm_stats, coord_quantise, varint_encode, o5m_node_deltas, osm_timestamp, xml_sink, pbf_sink, o5m_sink, o5m_string_table, hgt_scan, geotiff_scan, geotiff_bbox, zip_members, supersample, supersample_knots, poly_scan, kml_polygons, polygon_clip)}
+QUERIES = {f.__name__: f for f in (id_allocation, osm_nodes, osm_ways, osm_xml_nodes, osm_xml_ways, osm_elements, osm_stats, coord_quantise, varint_encode, o5m_node_deltas, osm_timestamp, xml_sink, pbf_sink, o5m_sink, file_counts, o5m_string_table, hgt_scan, geotiff_scan, geotiff_bbox, zip_members, supersample, supersample_knots, poly_scan, kml_polygons, polygon_clip)}
 
 _LON, _LAT = (f"(6.0::DOUBLE + t.file_seq % 2 + {{}} * (1.0::DOUBLE / {N - 1}))", f"(44.0::DOUBLE + t.file_seq // 2 - {{}} * (1.0::DOUBLE / {N - 1}))")
 _PIECES = f"""{segments_sql(N)},
@@ -265,4 +271,5 @@ whole AS (SELECT p, taps.m AS m, sum(bases.w * taps.w) AS w FROM bases JOIN taps
 down AS (SELECT cell, p AS i, j, sum(w * z) AS z FROM g JOIN whole ON g.i = whole.m GROUP BY ALL),
 fine AS (SELECT cell, i, p AS j, sum(w * z) AS z FROM down JOIN whole ON down.j = whole.m GROUP BY ALL)
 SELECT f.cell || '.hgt' AS path, f.i, f.j, CASE WHEN g.z > -1000 THEN round_even(f.z, 0) + 0.0 END AS z FROM fine f JOIN places a ON a.p = f.i JOIN places b ON b.p = f.j JOIN g ON g.cell = f.cell AND g.i = a.near AND g.j = b.near""",
+    "file_counts": f"{_PIECES} SELECT tile_seq || x.s AS path, 2 * count(*) AS nodes, count(*) AS ways, 0::BIGINT AS relations FROM ways, (VALUES ('.osm'), ('.osm.pbf'), ('.o5m')) x(s) GROUP BY tile_seq, x.s",
 }
