@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed, level_class
+from ..sinks import xml
 
 FIRST_ID = 10_000_000
 ORDER = ("level", "line", "piece")
@@ -52,25 +53,14 @@ def nodes(ways_: DataFrame) -> DataFrame:
     return out.select("tile_seq", (F.col("first_node") + F.col("pos")).alias("node_id"), F.col("p")["lon"].alias("lon"), F.col("p")["lat"].alias("lat"))
 
 
-def _version(osm_version: float, stamp: str) -> str:
-    return (' version="1"' if osm_version > 0.5 else "") + stamp
-
-
 def node_xml(osm_version: float = 0.6, stamp: str = "") -> Column:
-    text = lambda x: F.lit(x)
-    return F.concat(text('<node id="'), F.col("node_id"), text('" lat="'), fixed(F.col("lat"), 7), text('" lon="'), fixed(F.col("lon"), 7), text(f'"{_version(osm_version, stamp)}/>'))
+    return F.format_string(xml.NODE, F.col("node_id").cast("string"), fixed(F.col("lat"), 7), fixed(F.col("lon"), 7), F.lit(xml.version(osm_version, stamp)))
 
 
 def way_xml(major: int = 200, medium: int = 100, osm_version: float = 0.6, stamp: str = "") -> Column:
-    text = lambda x: F.lit(x)
-    listed = F.array_join(F.transform(refs(), lambda r: F.concat(text('<nd ref="'), r, text('"/>\n'))), "")
-    tag = lambda k, v: F.concat(text(f'<tag k="{k}" v="'), v, text('"/>'))
-    tags = F.concat(tag("ele", F.col("level").cast("long").cast("string")), tag("contour", text("elevation")), tag("contour_ext", level_class(F.col("level"), major, medium)))
-    return F.concat(text('<way id="'), F.col("way_id"), text(f'"{_version(osm_version, stamp)}>'), listed, tags, text("</way>"))
-
-
-def xml_head(generator: str, bounds: str, osm_version: float = 0.6) -> list[str]:
-    return ['<?xml version="1.0" encoding="utf-8"?>', f'<osm version="{osm_version:.1f}" generator="{generator}">', bounds]
+    listed = F.array_join(F.transform(refs(), lambda r: F.format_string(xml.REF, r.cast("string"))), "")
+    level = F.col("level").cast("long")
+    return F.format_string(xml.WAY, F.col("way_id").cast("string"), F.lit(xml.version(osm_version, stamp)), listed, level.cast("string"), level_class(F.col("level"), major, medium))
 
 
 def elements(ways_: DataFrame, **style) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sinks import xml
 
 
 def raster_bytes(resolution: Column) -> Column:
@@ -47,8 +48,7 @@ def output_name(prefix: Column, left: Column, bottom: Column, right: Column, top
 
 
 def bounds_tag(left: Column, bottom: Column, right: Column, top: Column) -> Column:
-    item = lambda name, x: F.concat(F.lit(f' {name}="'), S.fixed(x, 7), F.lit('"'))
-    return F.concat(F.lit("<bounds"), item("minlat", bottom), item("minlon", left), item("maxlat", top), item("maxlon", right), F.lit("/>"))
+    return F.format_string(xml.BOUNDS, *[S.fixed(x, 7) for x in (bottom, left, top, right)])
 
 
 def preferred(wanted: DataFrame, held: DataFrame, order: list[str]) -> DataFrame:
