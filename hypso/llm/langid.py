@@ -233,10 +233,16 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     body = exact(text)
     usable = labelled.where(exact(lang).isNotNull() & body.isNotNull() & (F.length(body) <= chars))
     usable = usable.select(exact(lang).alias("lang"), body.alias("text"), F.xxhash64(exact(key), body).alias("h"))
-    known = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    # The limit on ranks is applied before the shuffle, too, so that no task gets a whole language.
-    ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= rows)
-    sample = ranked.join(F.broadcast(known), "lang", "left_semi").select("lang", "rank", "text").collect()  # at most languages x rows x chars
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not counts:
+        return Model([])
+    # A share of each language's hashes that holds `rows` rows almost surely, so that few rows are ranked; of
+    # repeated rows, which share theirs, the limit on ranks leaves no more before the shuffle either.
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (rows + 5 * rows**0.5 + 10) / r["n"])) for r in counts], "lang string, share double")
+    few = usable.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    place = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text")
+    ranked = few.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= rows)
+    sample = ranked.select("lang", "rank", "text").collect()  # at most languages x rows x chars
     return Model([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["lang"], r["rank"]))])
 
 
