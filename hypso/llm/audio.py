@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import exact, small_batches, table
-from .neardup import _LAST, linked_classes, shingles, sketches
+from .neardup import _LAST, Common, linked_classes, shingles, sketches
 
 
 class Tuning(NamedTuple):
@@ -40,6 +40,8 @@ class Tuning(NamedTuple):
 TEXT = Tuning(8000, 256, 32, 16)
 #: Bits that may differ, integers that must be equal, and the part of the longer recording that must overlap.
 ERRORS, EQUAL, OVERLAP = 0.15, 0.4, 0.8
+#: Equal integers at one offset are, each with its occurrence number, common to both.
+INTEGERS = Common(lambda codes: shingles(np.frombuffer(codes, np.uint32), 1), EQUAL * OVERLAP, lambda x, y: F.greatest(x, y) * (EQUAL * OVERLAP))
 #: Consecutive integers in a sketch, and sketches.
 RUN, SKETCHES = 3, 20
 #: Two rounds with all hubs that a node meets: the least and the greatest node of each bucket, which
@@ -194,7 +196,7 @@ def recordings(media: DataFrame, key: str, sound: Column, tuning: Tuning = Tunin
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_t"), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], names=["_doc", "_t", "_keys", "_words"])
 
     found = rows.mapInArrow(run, "_doc long, _t binary, _keys array<long>, _words binary")
-    return linked_classes(found, same_recording, ROUNDS, ratio=OVERLAP)
+    return linked_classes(found, same_recording, INTEGERS, ROUNDS, ratio=OVERLAP)
 
 
 def text_as_sound(text: Column) -> Column:

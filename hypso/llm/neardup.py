@@ -13,9 +13,13 @@ aligned with the bucket's hub only, one of its nodes. In the first rounds a node
 the one or two hubs that it meets most often; rounds differ in their hubs and in what makes a bucket:
 equal sketches, then runs of two and of three equal sketches, which texts that have only a
 passage in common seldom share. In the last two rounds a node is aligned with the hubs of all its
-buckets: the least node of each, then the greatest. So every pair that shares a sketch with at most one other
-text is aligned, whatever crowd shares a passage with it, as are all pairs with a hub. A
-round is linear in the number of texts that share anything; pairs within a bucket are never listed.
+buckets: the least node of each, then the greatest. A round is linear in the number of texts that share
+anything; pairs within a bucket are never listed.
+
+What the rounds leave is finished exactly. The nodes of every bucket that still holds several classes are joined
+by their rarest shingles: two texts with enough shingles in common have one of them in a place, by
+how common they are, from which on there are as many. So every similar pair that shares a sketch
+ends in one class, and texts that share but a crowd's passage don't meet, as its shingles are the most common.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import exact, scratch, small_batches, table, written
@@ -196,11 +201,58 @@ def _pairs(active: DataFrame, labels: DataFrame | None, run: int, seed: int, hub
     return met.select(F.col("node").alias("a"), F.explode(F.slice(F.sort_array(often, asc=False), 1, hubs)).alias("h")).select("a", F.col("h")["h"].alias("b"))
 
 
-def linked_classes(rows: DataFrame, similar: Callable[[bytes, bytes], bool], rounds: tuple = ROUNDS, ratio: float = 0.0) -> DataFrame:
+class Common(NamedTuple):
+    """What similar texts have in common, at the least."""
+
+    #: Different numbers that stand for a text, by its _words.
+    tokens: Callable[[bytes], np.ndarray]
+    #: The part of a text's numbers that any similar text has.
+    share: float
+    #: How many numbers two texts of so many are to share.
+    needed: Callable[[Column, Column], Column]
+
+
+SHINGLES = Common(lambda words: shingles(np.frombuffer(words, np.uint32)), SIMILAR, lambda x, y: (x + y) * (SIMILAR / (1 + SIMILAR)))
+
+
+def _left(active: DataFrame, labels: DataFrame | None, texts: DataFrame, common: Common) -> DataFrame:
+    """a, b: all pairs that may be similar, of different components, among the nodes of buckets that hold several.
+
+    A node's numbers are put in order from the most common to the rarest. The rarest one that two
+    similar texts share comes, in both, not before as many as they share. Numbers that only one
+    component has come last, and no pair of that component is listed."""
+    own = active.withColumn("label", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = own.select("node", "label", F.explode("_keys").alias("bucket"))
+    several = written(members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"))
+    nodes = written(members.join(several, "bucket").select("node", "label").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [common.tokens(words).view(np.int64) for words in batch.column("_words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["node", "label", "_tokens"])
+
+    own = written(texts.join(_few(nodes), "node").select("node", "label", "_words").mapInArrow(run, "node long, label long, _tokens array<long>"))
+    own = own.select("node", "label", F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"))
+    shared = own.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "many")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("many"), "token"))
+    ranked = own.join(written(shared), "token").withColumn("place", place)
+    rare = written(ranked.where(F.col("place") >= F.col("n") * common.share - 1e-6).select("token", "node", "label", "n", "place"))
+    # Of a number's components the largest is met by the others only, so its own pairs aren't listed.
+    counts = rare.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
+    largest = counts.groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    met = written(rare.join(written(largest), "token"))
+    one = met.where("label <> largest").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "place")])
+    pairs = one.join(met, "token").where("_label <> label AND (label = largest OR _node < node)")
+    pairs = pairs.where(F.least("_place", "place") >= common.needed(F.col("_n"), F.col("n")) - 1e-6)
+    return pairs.select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def linked_classes(rows: DataFrame, similar: Callable[[bytes, bytes], bool], common: Common, rounds: tuple = ROUNDS, ratio: float = 0.0) -> DataFrame:
     """_doc, _t, class_id, n_links and _class for each row of rows (_doc, _t, _keys and _words); equal _t
     are one node, null _t a class for each row. _class is the class's own number (null for null _t), as
     unlike texts of one doc_id may share a class_id. ratio: words of sizes in a lesser ratio are never
-    similar, so such pairs need no alignment."""
+    similar, so such pairs need no alignment. All similar pairs that share a key are in one class; n_links counts
+    the links that were needed to find that."""
     with scratch():
         rows = written(rows.withColumns({"_r": F.monotonically_increasing_id(), "_size": F.octet_length("_words")}))
         # A node has the keys of any of its rows, as they are equal, and the words of one, `pick`.
@@ -225,9 +277,15 @@ def linked_classes(rows: DataFrame, similar: Callable[[bytes, bytes], bool], rou
                 both = links.union(links.select("b", "a"))
                 labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), outer=True)
 
+        labels = None if links is None else components(links)
+        with scratch():
+            pairs = written(_left(active, labels, texts, common))
+            if not pairs.isEmpty():
+                found = written(_verified(pairs, texts, similar), outer=True)
+                links = found if links is None else links.union(found)
+                labels = None
         if links is not None:
-            labels = components(links)
-        if links is not None:
+            labels = components(links) if labels is None else labels
             least = nodes.join(labels, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
             classes = labels.join(least, "label").select("node", "label", "class_id")
             degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -249,7 +307,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Very long texts are sketched and aligned whole. Ties go to the lower doc_id. An empty table
     gives an empty result; other columns are not looked at.
     """
-    return linked_classes(_sketched(docs, key, text), similar_texts)
+    return linked_classes(_sketched(docs, key, text), similar_texts, SHINGLES)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -140,6 +140,20 @@ def test_large_clusters_hold_their_pairs(spark):
     assert len({b for _, b in both}) == len(both)
 
 
+def test_no_similar_pair_of_a_cloud_is_left_out(spark):
+    """As above, where some texts are similar to a few others only and to no hub: classes equal those of all pairs."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    base, data = [word() for _ in range(120)], []
+    for k in range(700):
+        own = list(base)
+        for at in rng.integers(0, 120, rng.integers(2, 6)):
+            own[at] = word()
+        data.append((k, " ".join(own)))
+    found = {r["_doc"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found == classes_of(dict(data))
+
+
 def test_order_counts(spark):
     """The same shingles in another order are not similar."""
     words = [f"w{k}" for k in range(300)]
