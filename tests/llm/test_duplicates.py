@@ -369,6 +369,27 @@ def test_crowds_of_recordings_are_joined(spark):
     assert {r["_doc"]: r["class_id"] for r in found} == {k: k // 2 * 2 for k in range(80)}
 
 
+def test_pairs_of_recordings_in_a_crowd_are_found(spark):
+    """Pairs of recordings whose first half all share, so that the partners meet in the crowd's buckets only:
+    noise leaves few runs of equal integers in the other half. Classes equal those of all pairs."""
+    rng = np.random.default_rng(14)
+    intro, sounds = tune(78, 5), {}
+    for k in range(40):
+        tail = tune(200 + k, 5)
+        for j in (0, 1):
+            sounds[2 * k + j] = as_bytes(np.concatenate([intro, tail + rng.normal(0, 0.5, len(tail)) * j]))
+    codes = {k: audio.fingerprint(x).tobytes() for k, x in sounds.items()}
+    plain = {k: k for k in codes}
+    for b in codes:
+        for a in range(b):
+            if plain[a] != plain[b] and audio.same_recording(codes[a], codes[b]):
+                x, y = sorted((plain[a], plain[b]))
+                plain = {k: x if v == y else v for k, v in plain.items()}
+    assert plain == {k: k // 2 * 2 for k in range(80)}
+    found = audio.recordings(spark.createDataFrame(list(sounds.items()), "id long, sound binary"), "id", F.col("sound")).collect()
+    assert {r["_doc"]: r["class_id"] for r in found} == plain
+
+
 def plain_histogram(x, y) -> Counter:
     at = defaultdict(list)
     for j, v in enumerate(y.tolist()):
