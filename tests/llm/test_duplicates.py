@@ -177,6 +177,20 @@ def test_one_of_near_copies_without_doc_ids_of_their_own_stays(spark):
     assert sorted(t[0] for t in kept) == ["a", "b", "c", "d"]
 
 
+def test_one_of_each_class_of_a_cloud_stays(spark):
+    """The pipeline's stage keeps one row of each class of all pairs, also of those that no hub joins."""
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    base, data = [word() for _ in range(120)], []
+    for k in range(400):
+        own = list(base)
+        for at in rng.integers(0, 120, rng.integers(2, 6)):
+            own[at] = word()
+        data.append((k, " ".join(own)))
+    kept = neardup.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(classes_of(dict(data)).values()))
+
+
 def plain_sentences(text):
     """Letter by letter: a sentence ends at blanks after a full stop with its closing marks, and at a line end."""
     units, own, k = [], "", 0
