@@ -3,13 +3,14 @@
 A recording is unsigned 8-bit mono sound in a binary column. Frames of its spectrum are
 folded to twelve pitch classes; over the image that these form in time, sixteen filters
 (differences of rectangle sums, read from an integral image) give two bits each, packed
-into a 32-bit integer for every frame. Two recordings are aligned at the offset that most
+into a 32-bit integer for every frame. Two recordings are aligned at the offsets that many
 of their common integers vote for, and match if many integers are equal and few bits differ
-there.
+at one of them.
 
-Candidates come from sketches of RUN consecutive integers, in the buckets-and-hubs way of
+The first candidates come from sketches of RUN consecutive integers, in the buckets-and-hubs way of
 neardup.linked_classes(): equal recordings are one node, and no pairs are listed. A pair of
 integers is shared by chance between many recordings of a large table, a run of three seldom.
+Matching recordings that share no such run are found by single integers at its end.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ TEXT = Tuning(8000, 256, 32, 16)
 #: Bits that may differ, integers that must be equal, and the part of the longer recording that must overlap.
 ERRORS, EQUAL, OVERLAP = 0.15, 0.4, 0.8
 #: Equal integers at one offset are, each with its occurrence number, common to both.
-INTEGERS = Common(lambda codes: shingles(np.frombuffer(codes, np.uint32), 1), EQUAL * OVERLAP, lambda x, y: F.greatest(x, y) * (EQUAL * OVERLAP))
+INTEGERS = Common(lambda codes: shingles(np.frombuffer(codes, np.uint32), 1), EQUAL * OVERLAP, lambda x, y: F.greatest(x, y) * (EQUAL * OVERLAP), OVERLAP)
 #: Consecutive integers in a sketch, and sketches.
 RUN, SKETCHES = 3, 20
 #: Two rounds with all hubs that a node meets: the least and the greatest node of each bucket, which
@@ -122,17 +123,38 @@ def fingerprint(sound: bytes | None, tuning: Tuning = Tuning()) -> np.ndarray:
 
 
 def votes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The offset histogram: for each offset of y in x, from 1 - len(y) on, about how many integers are
-    equal there, recurring ones included. Integers become random unit vectors, whose correlation is
-    that number but for noise; four of them are averaged. In work n log n."""
+    """The offset histogram: for each offset of y in x, from 1 - len(y) on, how many integers are equal
+    there, recurring ones included. Pairs of equal integers are counted; those of integers that recur
+    so often that it would take longer are correlated. Memory is linear in the lengths."""
     n = len(x) + len(y) - 1
     size = 1 << (n - 1).bit_length()
-    out = np.zeros(n)
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
-        turn = lambda codes: np.exp(2j * np.pi * ((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(seed) >> np.uint64(40)).astype(np.float64) / (1 << 24))  # noqa: B023, E731
-        both = np.fft.ifft(np.fft.fft(turn(x), size) * np.conj(np.fft.fft(turn(y), size))).real
-        out += np.concatenate([both[size - len(y) + 1 :], both[: len(x)]])
-    return out / 4
+    out = np.zeros(n, np.int64)
+    in_x, in_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    _, at_x, many_x = np.unique(x[in_x], return_index=True, return_counts=True)
+    values, at_y, many_y = np.unique(y[in_y], return_index=True, return_counts=True)
+    _, kx, ky = np.intersect1d(x[in_x[at_x]], values, assume_unique=True, return_indices=True)
+    at_x, many_x, at_y, many_y = at_x[kx], many_x[kx], at_y[ky], many_y[ky]
+    pairs = many_x * many_y
+    often = pairs > 16 * size
+    if often.any():
+        both = np.zeros(size // 2 + 1, complex)
+        for k in np.flatnonzero(often):
+            sides = np.zeros((2, size))
+            sides[0, in_x[at_x[k] : at_x[k] + many_x[k]]] = 1
+            sides[1, in_y[at_y[k] : at_y[k] + many_y[k]]] = 1
+            one, other = np.fft.rfft(sides, axis=1)
+            both += one * np.conj(other)
+        heard = np.rint(np.fft.irfft(both, size)).astype(np.int64)
+        out += np.concatenate([heard[size - len(y) + 1 :], heard[: len(x)]])
+    few = np.flatnonzero(~often)
+    part = np.cumsum(pairs[few]) // (16 * size)
+    for own in np.split(few, np.flatnonzero(np.diff(part)) + 1) if len(few) else ():
+        many, end = pairs[own], np.cumsum(pairs[own])
+        within = np.arange(end[-1]) - np.repeat(end - many, many)
+        wide = np.repeat(many_y[own], many)
+        where = in_x[np.repeat(at_x[own], many) + within // wide] - in_y[np.repeat(at_y[own], many) + within % wide]
+        out += np.bincount(where + len(y) - 1, minlength=n)
+    return out
 
 
 def offsets(x: np.ndarray, y: np.ndarray, overlap: int = 1) -> list[int]:
@@ -160,14 +182,20 @@ def equal_integers(x: np.ndarray, y: np.ndarray, offset: int) -> int:
 
 
 def same_recording(a: bytes, b: bytes) -> bool:
-    """Whether two fingerprints match at one of the offsets that most integers vote for."""
+    """Whether two fingerprints match at any offset at which enough of them overlaps."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return False
     least = int(np.ceil(OVERLAP * max(len(x), len(y)) - 1e-9))
-    for at in offsets(x, y, least):
-        bits, overlap = bit_errors(x, y, at)
-        if bits <= ERRORS * 32 * overlap and equal_integers(x, y, at) >= EQUAL * overlap:
+    if min(len(x), len(y)) < least:
+        return False
+    where = np.arange(1 - len(y), len(x))
+    overlap = np.minimum(len(x), len(y) + where) - np.maximum(0, where)
+    heard = votes(x, y)
+    likely = np.flatnonzero((overlap >= least) & (heard >= EQUAL * overlap))
+    for k in likely[np.argsort(-heard[likely], kind="stable")].tolist():
+        bits, shared = bit_errors(x, y, int(where[k]))
+        if bits <= ERRORS * 32 * shared:
             return True
     return False
 

@@ -16,10 +16,11 @@ passage in common seldom share. In the last two rounds a node is aligned with th
 buckets: the least node of each, then the greatest. A round is linear in the number of texts that share
 anything; pairs within a bucket are never listed.
 
-What the rounds leave is finished exactly. The nodes of every bucket that still holds several classes are joined
-by their rarest shingles: two texts with enough shingles in common have one of them in a place, by
-how common they are, from which on there are as many. So every similar pair that shares a sketch
-ends in one class, and texts that share but a crowd's passage don't meet, as its shingles are the most common.
+What the rounds leave is finished exactly, whether it shares a sketch or not. Nodes that may have a similar
+partner are found first: of its first shingles in one random order, a text of a similar pair has a number in common
+with the other's. Those in different classes are then joined by their rarest shingles: two texts with enough
+shingles in common have one of them in a place, by how common they are, from which on there are as many. So every
+similar pair ends in one class, and texts that share but a crowd's passage don't meet, as its shingles are the most common.
 """
 
 from __future__ import annotations
@@ -210,40 +211,107 @@ class Common(NamedTuple):
     share: float
     #: How many numbers two texts of so many are to share.
     needed: Callable[[Column, Column], Column]
+    #: The part of the longer text's numbers that the shorter one of a similar pair has, at the least.
+    ratio: float
 
 
-SHINGLES = Common(lambda words: shingles(np.frombuffer(words, np.uint32)), SIMILAR, lambda x, y: (x + y) * (SIMILAR / (1 + SIMILAR)))
+SIGNS = ("s0", "s1", "s2", "s3")
+SHINGLES = Common(lambda words: shingles(np.frombuffer(words, np.uint32)), SIMILAR, lambda x, y: (x + y) * (SIMILAR / (1 + SIMILAR)), SIMILAR)
 
 
-def _left(active: DataFrame, labels: DataFrame | None, texts: DataFrame, common: Common) -> DataFrame:
-    """a, b: all pairs that may be similar, of different components, among the nodes of buckets that hold several.
+def _spared(n: int, common: Common) -> tuple[int, int]:
+    """Of n numbers: how many a similar text may lack, and how many more are looked at in a prefix."""
+    lacking = n - int(np.ceil(common.share * n - 1e-9))
+    return lacking, max(1, min(n - lacking, lacking // 2))
 
-    A node's numbers are put in order from the most common to the rarest. The rarest one that two
-    similar texts share comes, in both, not before as many as they share. Numbers that only one
-    component has come last, and no pair of that component is listed."""
-    own = active.withColumn("label", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = own.select("node", "label", F.explode("_keys").alias("bucket"))
-    several = written(members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"))
-    nodes = written(members.join(several, "bucket").select("node", "label").distinct())
+
+def prefix(tokens: np.ndarray, common: Common) -> tuple[np.ndarray, int]:
+    """The first of a text's numbers in one random order, and how many of them are, at the least,
+    in the prefix of any similar text: as many as the shorter text's prefix has beyond what it may lack."""
+    n = len(tokens)
+    if not n:
+        return tokens, 1
+    first = sum(_spared(n, common))
+    if first < n:
+        tokens = tokens[np.argpartition(_mix(tokens * _P1), first - 1)[:first]]
+    return tokens, _spared(int(np.ceil(common.ratio * n - 1e-9)), common)[1]
+
+
+def _flat(rows: DataFrame, tokens: Callable[[bytes], tuple[np.ndarray, int]]) -> DataFrame:
+    """For each row of rows (longs and, last, _words) a row for each of its numbers: the longs, `n` and `token`."""
+    longs = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [common.tokens(words).view(np.int64) for words in batch.column("_words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["node", "label", "_tokens"])
+            given = [batch.column(c).to_numpy() for c in longs]
+            found: list[tuple[np.ndarray, int]] = []
+            size, low = 0, 0
+            for k, words in enumerate(batch.column("_words").to_pylist()):
+                found.append(tokens(words))
+                size += len(found[-1][0])
+                if size >= _PART or k + 1 == batch.num_rows:
+                    counts = [len(t) for t, _ in found]
+                    columns = [np.repeat(c[low : k + 1], counts) for c in given]
+                    columns += [np.repeat(np.array([n for _, n in found], np.int64), counts), np.concatenate([t for t, _ in found]).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*longs, "n", "token"])
+                    found, size, low = [], 0, k + 1
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*longs, "n", "token"]))
+
+
+def _signed(texts: DataFrame, common: Common) -> DataFrame:
+    """node and SIGNS, 256 bits: of each the parity of how many of the text's numbers fall on it. Two texts
+    differ in no more bits than there are numbers that only one of them has."""
 
-    own = written(texts.join(_few(nodes), "node").select("node", "label", "_words").mapInArrow(run, "node long, label long, _tokens array<long>"))
-    own = own.select("node", "label", F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"))
-    shared = own.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "many")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, 256), np.uint8)
+            for k, words in enumerate(batch.column("_words").to_pylist()):
+                bits[k] = np.bincount((_mix(common.tokens(words) * _P1) >> np.uint64(56)).astype(np.intp), minlength=256) & 1
+            signs = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(signs[:, k])) for k in range(4)]], names=["node", *SIGNS])
+
+    return texts.select("node", "_words").mapInArrow(run, ", ".join(f"{c} long" for c in ("node", *SIGNS)))
+
+
+def _hopeful(rows: DataFrame, common: Common) -> DataFrame:
+    """_r of the rows that may have a similar text: those whose prefix has enough numbers in others' prefixes."""
+    own = rows.where("_t IS NOT NULL").select("_r", F.xxhash64("_t").alias("_text"), "_words")
+    own = _flat(own, lambda words: prefix(common.tokens(words), common))
+    same = Window.partitionBy("token")
+    shared = own.withColumns({"x": F.min("_text").over(same), "y": F.max("_text").over(same)}).where("x < y")
+    return shared.groupBy("_r").agg(F.count(F.lit(1)).alias("many"), F.first("n").alias("n")).where("many >= n").select("_r")
+
+
+def _left(active: DataFrame, labels: DataFrame | None, texts: DataFrame, common: Common) -> DataFrame:
+    """a, b: all pairs of nodes that may be similar and are of different components.
+
+    A node's numbers are put in order from the most common to the rarest. The rarest one that two
+    similar texts share comes, in both, not before as many as they share. Numbers that only one
+    component has count for nothing, and no pair of that component is listed, nor one whose SIGNS
+    differ in more bits than similar texts have numbers of their own."""
+    nodes = active.select("node", F.col("node").alias("label")) if labels is None else active.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    nodes = written(nodes)
+
+    def tokens(words: bytes) -> tuple[np.ndarray, int]:
+        found = common.tokens(words)
+        return found, len(found)
+
+    own = _flat(texts.join(_few(nodes), "node").select("node", "label", "_words"), tokens)
+    same = Window.partitionBy("token")
+    shared = own.withColumns({"many": F.count(F.lit(1)).over(same), "x": F.min("label").over(same), "y": F.max("label").over(same)}).where("x < y").drop("x", "y")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("many"), "token"))
-    ranked = own.join(written(shared), "token").withColumn("place", place)
+    ranked = shared.withColumn("place", place)
     rare = written(ranked.where(F.col("place") >= F.col("n") * common.share - 1e-6).select("token", "node", "label", "n", "place"))
     # Of a number's components the largest is met by the others only, so its own pairs aren't listed.
     counts = rare.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
     largest = counts.groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    met = written(rare.join(written(largest), "token"))
-    one = met.where("label <> largest").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "place")])
+    met = written(rare.join(written(largest), "token").join(written(_signed(texts, common)), "node"))
+    one = met.where("label <> largest").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "place", *SIGNS)])
     pairs = one.join(met, "token").where("_label <> label AND (label = largest OR _node < node)")
-    pairs = pairs.where(F.least("_place", "place") >= common.needed(F.col("_n"), F.col("n")) - 1e-6)
+    needed = common.needed(F.col("_n"), F.col("n"))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SIGNS), F.lit(0))
+    pairs = pairs.where((F.least("_place", "place") >= needed - 1e-6) & (F.least("_n", "n") >= F.greatest("_n", "n") * common.ratio - 1e-6) & (differ <= F.col("_n") + F.col("n") - needed * 2 + 1e-6))
     return pairs.select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -251,17 +319,15 @@ def linked_classes(rows: DataFrame, similar: Callable[[bytes, bytes], bool], com
     """_doc, _t, class_id, n_links and _class for each row of rows (_doc, _t, _keys and _words); equal _t
     are one node, null _t a class for each row. _class is the class's own number (null for null _t), as
     unlike texts of one doc_id may share a class_id. ratio: words of sizes in a lesser ratio are never
-    similar, so such pairs need no alignment. All similar pairs that share a key are in one class; n_links counts
-    the links that were needed to find that."""
+    similar, so such pairs need no alignment. All similar pairs are in one class, whether they
+    share a key or not; n_links counts the links that were needed to find that."""
     with scratch():
         rows = written(rows.withColumns({"_r": F.monotonically_increasing_id(), "_size": F.octet_length("_words")}))
         # A node has the keys of any of its rows, as they are equal, and the words of one, `pick`.
         nodes = rows.where("_t IS NOT NULL").groupBy("_t").agg(F.min("_doc").alias("rep"), F.min("_r").alias("pick"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"))
         nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
-        keyed = nodes.select("node", F.explode("_keys").alias("bucket"))
-        shared = keyed.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
-        known = written(keyed.join(written(shared), "bucket").select("node").distinct())  # the others share no sketch
-        active = written(nodes.select("node", "pick", "_size", "_keys").join(_few(known), "node"))
+        hopeful = written(_hopeful(rows, common))  # the others have no similar text
+        active = written(nodes.join(_few(hopeful.withColumnRenamed("_r", "pick")), "pick").select("node", "pick", "_size", "_keys"))
         texts = written(rows.select("_r", "_words").join(_few(active.select("node", F.col("pick").alias("_r"))), "_r").select("node", "_words"))
         active = active.select("node", "_size", "_keys")
 

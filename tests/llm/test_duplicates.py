@@ -531,3 +531,40 @@ def test_audio_classes_of_documents(spark, folder):
     for d, t in zip(docs.doc_id, docs.text, strict=True):
         assert own[d] == own[first[t]] and root(own[d]) == root(first[t])
     assert folder != "sf0.1" or len(pairs) >= 5
+
+
+def test_matching_recordings_without_a_common_run_are_one_class(spark, monkeypatch):
+    """Recordings whose equal integers never come three in a row, so that they share no sketch, and a crowd
+    that begins alike: classes equal those of all pairs at any offset."""
+    rng = np.random.default_rng(22)
+    codes = {}
+    for k in range(60):
+        n = int(rng.integers(5, 90))
+        x = rng.integers(0, 1 << 32, n).astype(np.uint32)
+        x[: n // 4] = np.arange(n // 4)  # the crowd's
+        y = x.copy()
+        y[k % 3 :: 2] ^= np.uint32(1 << (k % 32))  # every other integer differs in one bit
+        codes |= {2 * k: x, 2 * k + 1: y[: n - n // 10]}
+    monkeypatch.setattr(audio, "fingerprint", lambda sound, tuning: np.frombuffer(sound, np.uint32))
+    data = [(k, x.tobytes()) for k, x in codes.items()]
+    found = {r["_doc"]: r["class_id"] for r in audio.recordings(spark.createDataFrame(data, "id long, sound binary"), "id", F.col("sound")).collect()}
+    plain = {k: k for k in codes}
+    for b in codes:
+        for a in range(b):
+            if plain[a] != plain[b] and plain_match(codes[a], codes[b], plain_histogram(codes[a], codes[b])):
+                x, y = sorted((plain[a], plain[b]))
+                plain = {k: x if c == y else c for k, c in plain.items()}
+    assert len(set(plain.values())) <= 70
+    assert found == plain
+
+
+def test_recordings_match_at_any_offset():
+    """Votes are exact, so that no offset is left out however many have more equal integers."""
+    rng = np.random.default_rng(23)
+    for kinds, n in ((3, 40), (3, 3000), (50, 500), (1 << 32, 200)):
+        x, y = rng.integers(0, kinds, n).astype(np.uint32), rng.integers(0, kinds, n - n // 8).astype(np.uint32)
+        exact = plain_histogram(x, y)
+        assert audio.votes(x, y).tolist() == [exact[k] for k in range(1 - len(y), len(x))]
+    for _ in range(300):
+        x, y = rng.integers(0, 6, 12).astype(np.uint32), rng.integers(0, 6, 11).astype(np.uint32)
+        assert audio.same_recording(x.tobytes(), y.tobytes()) == plain_match(x, y, plain_histogram(x, y))
