@@ -533,6 +533,26 @@ def test_audio_classes_of_documents(spark, folder):
     assert folder != "sf0.1" or len(pairs) >= 5
 
 
+def test_similar_texts_without_a_common_sketch_are_one_class(spark, monkeypatch):
+    """Classes don't rest on sketches: with one only, which most similar pairs don't share, they equal those of all
+    pairs; short texts, copies, nulls and texts without words among them."""
+    sketched = neardup.sketches
+    monkeypatch.setattr(neardup, "sketches", lambda labelled: sketched(labelled, count=1))
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    data = []
+    for k in range(150):
+        own = [word() for _ in range(int(rng.integers(1, 60)))]
+        cut = own[:-1] if k % 2 and len(own) > 1 else [*own, word()]
+        data += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(cut))]
+    data += [(400, data[0][1]), (401, ""), (402, "  "), (403, "one"), (404, "one")]
+    found = {r["_doc"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame([*data, (500, None)], "doc_id long, text string")).collect()}
+    assert found.pop(500) == 500
+    assert found == classes_of(dict(data))
+    kept = neardup.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(found.values()))
+
+
 def test_matching_recordings_without_a_common_run_are_one_class(spark, monkeypatch):
     """Recordings whose equal integers never come three in a row, so that they share no sketch, and a crowd
     that begins alike: classes equal those of all pairs at any offset."""
