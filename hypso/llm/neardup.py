@@ -6,7 +6,8 @@ order and keeps them in text order: two texts agree on it only if they share the
 in the same order, which makes it sensitive to edit similarity. Texts that agree on one of
 SKETCHES sketches are candidates. They are linked if an alignment of their shingle
 sequences, within the band that the threshold leaves, matches m of their n1 and n2 shingles
-with m / (n1 + n2 - m) of at least SIMILAR.
+with m / (n1 + n2 - m) of at least SIMILAR. Labels don't count there: a repeated shingle may match any
+of the same words.
 
 Exact copies are one node from the start. In a bucket of equal sketches every node may be
 aligned with the bucket's hub only, one of its nodes. In the first rounds a node is aligned with
@@ -67,14 +68,17 @@ def word_hashes(text: str) -> np.ndarray:
     return (pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> np.uint64(32)).astype(np.uint32)
 
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Occurrence-labelled shingles, 64 bits each, all different. A text of fewer words is one shingle."""
+def shingles(words: np.ndarray, size: int = SHINGLE, labels: bool = True) -> np.ndarray:
+    """Occurrence-labelled shingles, 64 bits each, all different (without labels: equal ones are equal).
+    A text of fewer words is one shingle."""
     if not len(words):
         return np.zeros(0, np.uint64)
     n = max(1, len(words) - size + 1)
     out = np.full(n, min(len(words), size), np.uint64)
     for k in range(min(size, len(words))):
         out = _mix(out * _P1 + words[k : k + n])
+    if not labels:
+        return out
     order = np.argsort(out, kind="stable")
     run = out[order]
     again = np.flatnonzero(run[1:] == run[:-1]) + 1
@@ -105,8 +109,36 @@ def sketches(labelled: np.ndarray, sampled: int = SAMPLED, count: int = SKETCHES
     return key.astype(np.int64)
 
 
-def aligned(x: np.ndarray, y: np.ndarray, similar: float = SIMILAR) -> bool:
-    """True if a banded alignment of two labelled shingle sequences reaches the similarity."""
+def chain(x: np.ndarray, y: np.ndarray) -> int:
+    """The length of the longest common subsequence, whatever recurs: a bit for each place of x, a step for each of y."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    head = int(differ[0]) if len(differ) else n
+    x, y, n = x[head:], y[head:], n - head
+    differ = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
+    tail = n - 1 - int(differ[-1]) if len(differ) else n
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    _, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    places: dict[int, list[int]] = {}
+    for k, c in enumerate(code[: len(x)].tolist()):
+        places.setdefault(c, []).append(k)
+    masks = {}
+    for c in set(places).intersection(code[len(x) :].tolist()):
+        bits = np.zeros(len(x), np.uint8)
+        bits[places[c]] = 1
+        masks[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(x)) - 1
+    free = full
+    for c in code[len(x) :].tolist():
+        if c in masks:
+            met = free & masks[c]
+            free = (free + met | free - met) & full
+    return head + tail + len(x) - free.bit_count()
+
+
+def aligned(x: np.ndarray, y: np.ndarray, similar: float = SIMILAR, plain: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> bool:
+    """True if a banded alignment of two labelled shingle sequences reaches the similarity, or one of
+    the plain() sequences does, in which repeats have no labels."""
     need = int(np.ceil(similar / (1 + similar) * (len(x) + len(y)) - 1e-9))
     if min(len(x), len(y)) < need or not need:
         return False
@@ -114,17 +146,23 @@ def aligned(x: np.ndarray, y: np.ndarray, similar: float = SIMILAR) -> bool:
     order = np.argsort(x)
     at = np.minimum(np.searchsorted(x, y, sorter=order), len(x) - 1)
     place = order[at]
-    hit = (x[place] == y) & (np.abs(place - np.arange(len(y))) <= band)
-    place = place[hit]
-    if len(place) < need:
+    hit = x[place] == y
+    if hit.sum() < need:  # labels don't change how many both have
         return False
-    if (place[1:] > place[:-1]).all():
-        return True
-    tails: list[int] = []  # longest chain of matches in the same order
-    for p in place.tolist():
-        k = bisect_left(tails, p)
-        tails[k : k + 1] = [p]
-    return len(tails) >= need
+    place = place[hit & (np.abs(place - np.arange(len(y))) <= band)]
+    if len(place) >= need:
+        if (place[1:] > place[:-1]).all():
+            return True
+        tails: list[int] = []  # longest chain of matches in the same order
+        for p in place.tolist():
+            k = bisect_left(tails, p)
+            tails[k : k + 1] = [p]
+        if len(tails) >= need:
+            return True
+    if plain is None:
+        return False
+    x, y = plain()
+    return (len(np.unique(x)) < len(x) or len(np.unique(y)) < len(y)) and chain(x, y) >= need
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -146,8 +184,9 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def similar_texts(a: bytes, b: bytes) -> bool:
-    """aligned() for the stored words of two texts; the latter one is prepared once in a row."""
-    return aligned(shingles(np.frombuffer(a, np.uint32)), _prepared(b))
+    """aligned() for the stored words of two texts, with labels and without; the latter one is prepared once in a row."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    return aligned(shingles(x), _prepared(b), plain=lambda: (shingles(x, labels=False), shingles(y, labels=False)))
 
 
 @lru_cache(4)

@@ -588,3 +588,58 @@ def test_recordings_match_at_any_offset():
     for _ in range(300):
         x, y = rng.integers(0, 6, 12).astype(np.uint32), rng.integers(0, 6, 11).astype(np.uint32)
         assert audio.same_recording(x.tobytes(), y.tobytes()) == plain_match(x, y, plain_histogram(x, y))
+
+
+def plain_chain(x, y) -> int:
+    """Longest common subsequence by a table."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last, row = row, [0]
+        for k, b in enumerate(y):
+            row.append(last[k] + 1 if a == b else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def plain_shingles(text) -> list:
+    return [s for s, _ in labelled(text)]
+
+
+def plainly_similar(a, b) -> bool:
+    x, y = plain_shingles(a), plain_shingles(b)
+    m = plain_chain(x, y)
+    return m >= 0.8 * (len(x) + len(y) - m) - 1e-9
+
+
+def test_the_longest_chain_equals_that_of_a_table():
+    rng = np.random.default_rng(24)
+    for kinds in (1, 2, 4, 30):
+        for _ in range(60):
+            x, y = (rng.integers(0, kinds, int(rng.integers(1, 90))).astype(np.uint64) for _ in range(2))
+            assert neardup.chain(x, y) == plain_chain(x.tolist(), y.tolist())
+            z = np.delete(x, rng.integers(0, len(x), 3))
+            assert neardup.chain(x, z) == plain_chain(x.tolist(), z.tolist())
+
+
+def test_one_of_texts_whose_refrain_recurs_once_more_stays(spark):
+    """A refrain put before a text moves the labels of all later ones, but nearly all shingles match in order;
+    texts of few different words, all pairs: no two that stay are similar."""
+    rng = np.random.default_rng(25)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    refrain = " ".join(word() for _ in range(12))
+    song = " ".join(f"{refrain} {word()} {word()} {word()}" for _ in range(12))
+    data = [(1, song), (2, f"{refrain} {word()} {song}")]
+    assert plainly_similar(song, data[1][1])
+    for k in range(10, 90):
+        own = rng.choice(["ja", "nein", "doch"], 40).tolist()
+        data += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[20:23], *own]))]
+    kept = {r["doc_id"]: r["text"] for r in neardup.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert 1 in kept and 2 not in kept
+    texts = list(kept.values())
+    assert not [1 for k, a in enumerate(texts) for b in texts[:k] if plainly_similar(a, b)]
+    parent = {d: d for d, _ in data}
+    for k, (d, a) in enumerate(data):
+        for e, b in data[:k]:
+            if parent[d] != parent[e] and plainly_similar(a, b):
+                x, y = sorted((parent[d], parent[e]))
+                parent = {i: x if c == y else c for i, c in parent.items()}
+    assert sorted(kept) == sorted(set(parent.values()))
