@@ -275,6 +275,11 @@ def prefix(tokens: np.ndarray, common: Common) -> tuple[np.ndarray, int]:
     return tokens, _spared(int(np.ceil(common.ratio * n - 1e-9)), common)[1]
 
 
+def _sparing(common: Common) -> bool:
+    """Whether a prefix is less than the whole text: else looking for it costs as much as the end that it is to spare."""
+    return sum(_spared(1000, common)) < 1000
+
+
 def _flat(rows: DataFrame, tokens: Callable[[bytes], tuple[np.ndarray, int]]) -> DataFrame:
     """For each row of rows (longs and, last, _words) a row for each of its numbers: the longs, `n` and `token`."""
     longs = rows.columns[:-1]
@@ -298,18 +303,20 @@ def _flat(rows: DataFrame, tokens: Callable[[bytes], tuple[np.ndarray, int]]) ->
 
 
 def _signed(texts: DataFrame, common: Common) -> DataFrame:
-    """node and SIGNS, 256 bits: of each the parity of how many of the text's numbers fall on it. Two texts
-    differ in no more bits than there are numbers that only one of them has."""
+    """node, how many numbers it has (n), and SIGNS, 256 bits: of each the parity of how many of the text's numbers
+    fall on it. Two texts differ in no more bits than there are numbers that only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros((batch.num_rows, 256), np.uint8)
+            bits, many = np.zeros((batch.num_rows, 256), np.uint8), np.zeros(batch.num_rows, np.int64)
             for k, words in enumerate(batch.column("_words").to_pylist()):
-                bits[k] = np.bincount((_mix(common.tokens(words) * _P1) >> np.uint64(56)).astype(np.intp), minlength=256) & 1
+                found = common.tokens(words)
+                many[k] = len(found)
+                bits[k] = np.bincount((_mix(found * _P1) >> np.uint64(56)).astype(np.intp), minlength=256) & 1
             signs = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(signs[:, k])) for k in range(4)]], names=["node", *SIGNS])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(many), *[pa.array(np.ascontiguousarray(signs[:, k])) for k in range(4)]], names=["node", "n", *SIGNS])
 
-    return texts.select("node", "_words").mapInArrow(run, ", ".join(f"{c} long" for c in ("node", *SIGNS)))
+    return texts.select("node", "_words").mapInArrow(run, ", ".join(f"{c} long" for c in ("node", "n", *SIGNS)))
 
 
 def _hopeful(rows: DataFrame, common: Common) -> DataFrame:
@@ -321,30 +328,36 @@ def _hopeful(rows: DataFrame, common: Common) -> DataFrame:
     return shared.groupBy("_r").agg(F.count(F.lit(1)).alias("many"), F.first("n").alias("n")).where("many >= n").select("_r")
 
 
-def _left(active: DataFrame, labels: DataFrame | None, texts: DataFrame, common: Common) -> DataFrame:
+def _left(texts: DataFrame, labels: DataFrame | None, common: Common) -> DataFrame:
     """a, b: all pairs of nodes that may be similar and are of different components.
 
     A node's numbers are put in order from the most common to the rarest. The rarest one that two
     similar texts share comes, in both, not before as many as they share. Numbers that only one
     component has count for nothing, and no pair of that component is listed, nor one whose SIGNS
-    differ in more bits than similar texts have numbers of their own."""
-    nodes = active.select("node", F.col("node").alias("label")) if labels is None else active.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    differ in more bits than similar texts have numbers of their own. Only what the order needs is
+    shuffled with each number, as these rows are the most."""
+    nodes = texts.select("node")
+    nodes = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     nodes = written(nodes)
+    signed = written(_signed(texts, common))
+    sizes = written(signed.select("node", "n").join(nodes, "node"))
 
     def tokens(words: bytes) -> tuple[np.ndarray, int]:
         found = common.tokens(words)
         return found, len(found)
 
-    own = _flat(texts.join(_few(nodes), "node").select("node", "label", "_words"), tokens)
+    # Most labels are the node itself: a distance of 0 takes no room.
+    own = _flat(texts.join(_few(nodes), "node").select("node", (F.col("label") - F.col("node")).alias("off"), "_words"), tokens).drop("n")
     same = Window.partitionBy("token")
-    shared = own.withColumns({"many": F.count(F.lit(1)).over(same), "x": F.min("label").over(same), "y": F.max("label").over(same)}).where("x < y").drop("x", "y")
+    label = F.col("node") + F.col("off")
+    shared = own.withColumns({"many": F.count(F.lit(1)).over(same), "x": F.min(label).over(same), "y": F.max(label).over(same)}).where("x < y").drop("x", "y", "off")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("many"), "token"))
-    ranked = shared.withColumn("place", place)
+    ranked = shared.withColumn("place", place).join(sizes, "node")
     rare = written(ranked.where(F.col("place") >= F.col("n") * common.share - 1e-6).select("token", "node", "label", "n", "place"))
     # Of a number's components the largest is met by the others only, so its own pairs aren't listed.
     counts = rare.groupBy("token", "label").agg(F.count(F.lit(1)).alias("many"))
     largest = counts.groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    met = written(rare.join(written(largest), "token").join(written(_signed(texts, common)), "node"))
+    met = written(rare.join(written(largest), "token").join(signed.drop("n"), "node"))
     one = met.where("label <> largest").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "place", *SIGNS)])
     pairs = one.join(met, "token").where("_label <> label AND (label = largest OR _node < node)")
     needed = common.needed(F.col("_n"), F.col("n"))
@@ -359,33 +372,39 @@ def linked_classes(rows: DataFrame, similar: Callable[[bytes, bytes], bool], com
     unlike texts of one doc_id may share a class_id. ratio: words of sizes in a lesser ratio are never
     similar, so such pairs need no alignment. All similar pairs are in one class, whether they
     share a key or not; n_links counts the links that were needed to find that."""
-    with scratch():
-        rows = written(rows.withColumns({"_r": F.monotonically_increasing_id(), "_size": F.octet_length("_words")}))
-        # A node has the keys of any of its rows, as they are equal, and the words of one, `pick`.
-        nodes = rows.where("_t IS NOT NULL").groupBy("_t").agg(F.min("_doc").alias("rep"), F.min("_r").alias("pick"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"))
-        nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
-        hopeful = written(_hopeful(rows, common))  # the others have no similar text
-        active = written(nodes.join(_few(hopeful.withColumnRenamed("_r", "pick")), "pick").select("node", "pick", "_size", "_keys"))
-        texts = written(rows.select("_r", "_words").join(_few(active.select("node", F.col("pick").alias("_r"))), "_r").select("node", "_words"))
-        active = active.select("node", "_size", "_keys")
-
-        links: DataFrame | None = None
-        labels: DataFrame | None = None  # of linked nodes: the least node that one is linked to
-        for how in rounds:
+    links: DataFrame | None = None
+    labels: DataFrame | None = None  # of linked nodes: the least node that one is linked to
+    with scratch():  # what the end needs
+        with scratch():  # what the rounds need
             with scratch():
-                pairs = written(_pairs(active, labels, *how, ratio))
-                if pairs.isEmpty():
-                    continue
-                found = written(_verified(pairs, texts, similar), outer=True)
-                links = found if links is None else links.union(found)
-                both = links.union(links.select("b", "a"))
-                labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), outer=True)
+                given = written(rows.withColumns({"_r": F.monotonically_increasing_id(), "_size": F.octet_length("_words")}))
+                # A node has the keys of any of its rows, as they are equal, and the words of one, `pick`.
+                nodes = given.where("_t IS NOT NULL").groupBy("_t").agg(F.min("_doc").alias("rep"), F.min("_r").alias("pick"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"))
+                keyed = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+                active = keyed
+                if _sparing(common):
+                    hopeful = written(_hopeful(given, common))  # the others have no similar text
+                    active = keyed.join(_few(hopeful.withColumnRenamed("_r", "pick")), "pick")
+                active = written(active.select("node", "pick", "_size", "_keys"), outer=1)
+                texts = written(given.select("_r", "_words").join(_few(active.select("node", F.col("pick").alias("_r"))), "_r").select("node", "_words"), outer=2)
+                nodes = written(keyed.select("node", "_t", "rep"), outer=2)
+                rows = written(given.select("_doc", "_t"), outer=2)
+            active = active.select("node", "_size", "_keys")
+            for how in rounds:
+                with scratch():
+                    pairs = written(_pairs(active, labels, *how, ratio))
+                    if pairs.isEmpty():
+                        continue
+                    found = written(_verified(pairs, texts, similar), outer=2)
+                    links = found if links is None else links.union(found)
+                    both = links.union(links.select("b", "a"))
+                    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), outer=1)
 
         labels = None if links is None else components(links)
         with scratch():
-            pairs = written(_left(active, labels, texts, common))
+            pairs = written(_left(texts, labels, common))
             if not pairs.isEmpty():
-                found = written(_verified(pairs, texts, similar), outer=True)
+                found = written(_verified(pairs, texts, similar), outer=1)
                 links = found if links is None else links.union(found)
                 labels = None
         if links is not None:

@@ -643,3 +643,19 @@ def test_one_of_texts_whose_refrain_recurs_once_more_stays(spark):
                 x, y = sorted((parent[d], parent[e]))
                 parent = {i: x if c == y else c for i, c in parent.items()}
     assert sorted(kept) == sorted(set(parent.values()))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Rounds of recordings once kept all their shuffles on disk until the driver collected garbage."""
+    from hypso.llm import common
+
+    def shuffled() -> set:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = shuffled(), spark.conf.get(setting, None)
+    with common.scratch():
+        counts = common.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+        assert not [x for x in shuffled() - before if x.endswith(".data")]
+        assert counts.count() == 10 and spark.conf.get(setting, None) == held
